@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import with_columns
+from .common import with_columns, written
 from .url_filter import host_of
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
@@ -203,6 +203,7 @@ def extract_main_text(pages: DataFrame, url_col: str = "url", html_col: str = "h
     def extract(htmls: pd.Series, paths: pd.Series) -> pd.Series:
         return pd.Series([_extracted(h, p) for h, p in zip(htmls, paths, strict=True)], index=htmls.index, dtype=object)
 
-    winners = winning_paths(pages, url_col, html_col, share).withColumnsRenamed({"host": "__host", "paths": "__paths"})
+    # Written, so that its size is known before the join is planned: pages are shuffled only if it is large.
+    winners = written(winning_paths(pages, url_col, html_col, share), "paths").withColumnsRenamed({"host": "__host", "paths": "__paths"})
     joined = pages.withColumn("__of", F.coalesce(host_of(F.col(url_col)), F.lit(""))).join(winners, F.col("__of") == F.col("__host"), "left")
     return with_columns(joined.withColumn("__text", extract.asNondeterministic()(html_col, "__paths")), {"text": F.col("__text")}).drop("__of", "__host", "__paths", "__text")

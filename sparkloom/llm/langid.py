@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import math
 import re
-from collections import defaultdict
 
 import numpy as np
 import pandas as pd
@@ -12,61 +10,117 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, slices, with_columns, words_of
+from .common import crc32_of, slices, with_columns, words_of, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Longest n-gram, weight of an unseen count, words that a verdict's score rests on, tokens a worker remembers.
-LONGEST, SMOOTH, TRUST, REMEMBERED = 5, 0.1, 10.0, 400_000
+LONGEST, SMOOTH, TRUST, REMEMBERED = 5, 0.1, 10.0, 150_000
+#: Factor of the 64-bit hash of n-grams.
+FACTOR = 0x9E3779B97F4A7C15
+
+
+def grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """(word of each n-gram, its 64-bit hash) of the words with a space at both ends."""
+    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
+    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    each = np.maximum(sizes - n + 1, 0)
+    owner = np.repeat(np.arange(len(words)), each)
+    at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(each) - each), each) + np.arange(len(owner))
+    key = np.full(len(at), n, np.uint64)
+    for k in range(n):
+        key = (key ^ codes[at + k]) * np.uint64(FACTOR)
+        key ^= key >> np.uint64(29)
+    return owner, key
 
 
 class LanguageModel:
-    """Log frequencies of words and character n-grams, one value per language."""
+    """Log frequencies of words and of hashed character n-grams, one value per language."""
 
     def __init__(self, counts: list[tuple[str, str, int]]):
         self.languages = sorted({lang for lang, _, _ in counts})
         of = {lang: i for i, lang in enumerate(self.languages)}
-        words: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(of)))
-        grams: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(len(of)))
+        words = sorted({word for _, word, _ in counts})
+        self.words = {w: i for i, w in enumerate(words)}
+        table = np.zeros((len(words), len(of)))
         for lang, word, n in counts:
-            words[word][of[lang]] += n
-        for word, n in words.items():
-            for gram in self._grams(word, 1, LONGEST):
-                grams[gram] += n
-        self.words = self._logs(words, lambda w: 0)
-        self.grams = self._logs(grams, len)
-
-    @staticmethod
-    def _grams(word: str, least: int, most: int):
-        padded = f" {word} "
-        for n in range(least, most + 1):
-            for i in range(len(padded) - n + 1):
-                yield padded[i : i + n]
+            table[self.words[word], of[lang]] += n
+        self.word_logs = self._logs(table)
+        self.keys, self.gram_logs = [], []
+        for n in range(1, LONGEST + 1):
+            owner, key = grams(words, n)
+            if n == 1:  # the spaces at the ends say nothing
+                space = grams([""], 1)[1][0]
+                owner, key = owner[key != space], key[key != space]
+            keys, at = np.unique(key, return_inverse=True)
+            self.keys.append(keys)
+            self.gram_logs.append(self._logs(np.column_stack([np.bincount(at, table[owner, k], len(keys)) for k in range(len(of))]) if len(of) else np.zeros((len(keys), 0))))
 
     @staticmethod
-    def _logs(table: dict[str, np.ndarray], level) -> dict[str, np.ndarray]:
-        sums: dict[int, np.ndarray] = {}
-        kinds: dict[int, int] = defaultdict(int)
-        for key, n in table.items():
-            sums[level(key)] = sums.get(level(key), 0) + n
-            kinds[level(key)] += 1
-        return {key: np.log((n + SMOOTH) / (sums[level(key)] + SMOOTH * kinds[level(key)])).astype(np.float32) for key, n in table.items()}
-
-    def word(self, word: str) -> np.ndarray:
-        """The word's logs; else the mean over its n-grams of the greatest length of which one is known; else zeros."""
-        if (known := self.words.get(word)) is not None:
-            return known
+    def _logs(table: np.ndarray) -> np.ndarray:
+        return np.log((table + SMOOTH) / (table.sum(axis=0) + SMOOTH * max(len(table), 1))).astype(np.float32)
+
+    def score_words(self, words: list[str]) -> np.ndarray:
+        """Logs of each word; of an unseen word the mean over its n-grams of the greatest length of which one is known; else zeros."""
+        rows = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
+        out = np.zeros((len(words), len(self.languages)), np.float32)
+        out[rows >= 0] = self.word_logs[rows[rows >= 0]]
+        left = np.flatnonzero(rows < 0)
         for n in range(LONGEST, 0, -1):
-            found = [g for x in self._grams(word, n, n) if (g := self.grams.get(x)) is not None and x != " "]
-            if found:
-                return np.mean(found, axis=0)
-        return np.zeros(len(self.languages), np.float32)
+            keys, logs = self.keys[n - 1], self.gram_logs[n - 1]
+            if not len(left) or not len(keys):
+                continue
+            owner, key = grams([words[i] for i in left.tolist()], n)
+            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+            hit = keys[at] == key
+            owner, at = owner[hit], at[hit]
+            n_hits = np.bincount(owner, minlength=len(left))
+            some = n_hits > 0
+            for k in range(len(self.languages)):
+                out[left[some], k] = np.bincount(owner, logs[at, k], len(left))[some] / n_hits[some]
+            left = left[~some]
+        return out
 
-    def token(self, token: str) -> np.ndarray:
-        """Sum of the logs of a token's words, number of words, 1 if it has a letter."""
-        words = LETTERS.findall(token.lower())
-        logs = sum((self.word(w) for w in words), np.zeros(len(self.languages), np.float32))
-        return np.append(logs, [len(words), any(c.isalpha() for c in token)])
+    def word(self, word: str) -> np.ndarray:
+        return self.score_words([word])[0]
+
+    def score_tokens(self, tokens: list[str]) -> np.ndarray:
+        """For each token the sum of the logs of its words, the number of its words, and 1 if it has a letter."""
+        found = [LETTERS.findall(t.lower()) for t in tokens]
+        sizes = np.fromiter(map(len, found), np.int64, len(found))
+        logs = self.score_words([w for x in found for w in x])
+        owner = np.repeat(np.arange(len(tokens)), sizes)
+        out = np.empty((len(tokens), len(self.languages) + 2), np.float32)
+        for k in range(len(self.languages)):
+            out[:, k] = np.bincount(owner, logs[:, k], len(tokens))
+        out[:, -2] = sizes
+        out[:, -1] = [any(map(str.isalpha, t)) for t in tokens]
+        return out
+
+
+class Remembered:
+    """Rows of tokens that a worker has seen, in one matrix; forgotten all at once when it is full."""
+
+    def __init__(self, width: int, most: int = REMEMBERED):
+        self.rows: dict[str, int] = {}
+        self.table, self.most = np.empty((most, width), np.float32), most
+
+    def of(self, tokens: list[str], score) -> np.ndarray:
+        at = np.fromiter((self.rows.get(t, -1) for t in tokens), np.int64, len(tokens))
+        out = np.empty((len(tokens), self.table.shape[1]), np.float32)
+        out[at >= 0] = self.table[at[at >= 0]]
+        new = np.flatnonzero(at < 0)
+        for start in range(0, len(new), 20_000):
+            part = new[start : start + 20_000]
+            names = [tokens[i] for i in part.tolist()]
+            out[part] = score(names)
+            for i, t in zip(part.tolist(), names, strict=True):
+                if len(t) <= 40:
+                    if len(self.rows) >= self.most:
+                        self.rows.clear()
+                    self.rows[t] = n = len(self.rows)
+                    self.table[n] = out[i]
+        return out
 
 
 def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000, max_words: int = 30_000) -> LanguageModel:
@@ -76,7 +130,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     Rows with a null text or language are left out.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
-    sizes = labelled.groupBy("lang").count()
+    sizes = written(labelled.groupBy("lang").count(), "languages")  # its size is known when the join is planned
     chance = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
     sample = labelled.join(sizes, "lang").where(chance < F.lit(per_language) / F.col("count"))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").count()
@@ -103,30 +157,20 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     return with_columns(marked, {"lang_pred": F.col("__lang.lang"), "lang_score": F.col("__lang.score")}).drop("__lang")
 
 
-_seen: dict[str, np.ndarray] = {}
+_seen: dict[int, tuple] = {}
 
 
 def _predict(model: LanguageModel, texts: pd.Series) -> pd.DataFrame:
     column = pa.array(texts, pa.string(), from_pandas=True)
     n = len(model.languages)
-    if _seen.get("") is not model.languages:  # another model
-        _seen.clear()
-        _seen[""] = model.languages
+    if _seen.get(0, (None,))[0] is not model:
+        _seen[0] = (model, Remembered(n + 2))
     sums = np.zeros((len(column), n + 2))
-    for start, size in slices(column):
+    for start, size in slices(column, 4 << 20):
         rows, codes, tokens = words_of(column.slice(start, size))
-        table = np.empty((len(tokens), n + 2))
-        for i, token in enumerate(tokens):
-            if (known := _seen.get(token)) is None:
-                known = model.token(token)
-                if len(token) <= 40:
-                    if len(_seen) > REMEMBERED:
-                        _seen.clear()
-                        _seen[""] = model.languages
-                    _seen[token] = known
-            table[i] = known
+        table = _seen[0][1].of(tokens, model.score_tokens)
         for k in range(n + 2):
-            sums[start : start + size, k] = np.bincount(rows, weights=table[codes, k] if len(codes) else None, minlength=size)
+            sums[start : start + size, k] = np.bincount(rows, weights=table[codes, k], minlength=size)
     words = np.maximum(sums[:, n], 1.0)
     logs = sums[:, :n] / words[:, None] * np.minimum(words, TRUST)[:, None]
     if n:
@@ -147,7 +191,3 @@ def keep_identified(docs: DataFrame, model: LanguageModel, text_col: str = "text
     kept = identify(row, model, "__text").where((F.col("lang_pred") != UNDETERMINED) & (F.col("lang_score") >= least))
     return kept.select(*[F.col("__row").getField(c).alias(c) for c in docs.columns])
 
-
-def entropy_bits(score: float) -> float:
-    """Surprise of a verdict in bits, for reports."""
-    return -math.log2(max(score, 1e-12))

@@ -6,8 +6,8 @@ the one before it (order 1), both by the id that last followed, and by frequenci
 ids, of which frequent ids have one of their own, and the frame's inside a group. The range is split between the three
 by how often predictions of the same confidence were right in this block so far.
 
-    frame  = magic "SLF1", ids u4, blocks u4, size of alphabet u4, alphabet u4 each, level u1 each,
-             words in each block u4 each, crc32 of each block u4 each, the blocks' 16-bit words, crc32 of all before u4
+    frame  = magic "SLF2", ids u4, blocks u4, size of alphabet u4, alphabet u4 each, level u1 each,
+             words in each block u4 each, crc32 of each block u4 each, the blocks' 32-bit words, crc32 of all before u4
 """
 
 from __future__ import annotations
@@ -17,13 +17,13 @@ from zlib import crc32
 
 import numpy as np
 
-MAGIC = b"SLF1"
+MAGIC = b"SLF2"
 #: Bits of the split range, of the groups' part of it, of the ids' part of a group; ids between two rebuilds of the
 #: group table, weight of one id; groups; hash bits of orders 1 and 2; speed of the hit rates.
 SCALE, PART, INNER, REBUILD, WEIGHT, GROUPS, BITS1, BITS2, SPEED = 30, 14, 12, 32, 12, 96, 8, 10, 5
-#: Ids in a block at most about, blocks in a frame at most.
-BLOCK_IDS, MOST_BLOCKS = 512, 2048
-U64 = np.uint64
+#: Ids in a block at most about, blocks in a frame at most; ids below this are counted in a table.
+BLOCK_IDS, MOST_BLOCKS, TABLE = 512, 2048, 1 << 22
+U32, U64 = np.uint32, np.uint64
 
 
 class _Alphabet:
@@ -34,132 +34,145 @@ class _Alphabet:
         before = np.cumsum(often) - often
         # A group ends where its share of the frequencies, or of the largest number of ids, is full.
         cut = before * GROUPS // max(int(often.sum()), 1) + (np.arange(len(often)) >> (INNER - 2) << 32)
-        self.group = np.cumsum(np.r_[False, cut[1:] != cut[:-1]]) if len(often) else np.empty(0, np.int64)
-        self.groups = int(self.group[-1]) + 1 if len(often) else 0
-        first = np.searchsorted(self.group, np.arange(self.groups))
-        mass = np.add.reduceat(often, first) if self.groups else often
+        group = np.cumsum(np.r_[False, cut[1:] != cut[:-1]])
+        self.groups = int(group[-1]) + 1
+        first = np.searchsorted(group, np.arange(self.groups))
+        mass = np.add.reduceat(often, first)
         size = np.diff(np.r_[first, len(often)])
         room = (1 << INNER) - size  # one for each id, the rest by frequency
-        inside = before - before[first][self.group] if self.groups else before
-        self.low = inside * room[self.group] // mass[self.group] + np.arange(len(often)) - first[self.group]
-        self.high = np.r_[self.low[1:], 0]
-        self.high[np.r_[first[1:], len(often)] - 1] = 1 << INNER
-        self.width = self.high - self.low
-        self.keyed = (self.group << INNER) + self.low
-        self.prior = np.maximum(mass * 2 * self.groups // max(int(mass.sum()), 1), 1).astype(np.int32)
+        inside = before - before[first][group]
+        low = inside * room[group] // mass[group] + np.arange(len(often)) - first[group]
+        high = np.r_[low[1:], 0]
+        high[np.r_[first[1:], len(often)] - 1] = 1 << INNER
+        self.group, self.low, self.width = group, low.astype(np.int32), (high - low).astype(np.int32)
+        #: The id at each place of each group.
+        self.owner = np.repeat(np.arange(len(often), dtype=np.int32), high - low)
+        self.prior = np.maximum(mass * 2 * self.groups // max(int(mass.sum()), 1), 1)
 
 
 class _Model:
-    """State of a number of blocks (lanes), all at the same position."""
+    """State of a number of blocks (lanes), all at the same position. Rows of two are orders 1 and 2."""
 
     def __init__(self, lanes: int, alphabet: _Alphabet):
-        self.alphabet, self.groups, self.stride = alphabet, alphabet.groups, alphabet.groups + 1
-        self.lane = np.arange(lanes)
+        self.alphabet, self.groups, self.lanes = alphabet, alphabet.groups, lanes
+        lane = np.arange(lanes)
         self.counts = np.tile(alphabet.prior, (lanes, 1))
-        self.flat_counts = self.counts.reshape(-1)
-        self.at_counts, self.at_sums, self.mark = self.lane * self.groups, self.lane * self.stride, self.lane << PART
+        self.at_counts, self.at_sums, self.mark = lane * self.groups, lane * (self.groups + 1), (lane << PART).astype(np.int32)
         # What followed a context last, as (id + 1) * 4 + confidence; 0: nothing yet.
-        self.next1, self.next2 = np.zeros(lanes << BITS1, np.int32), np.zeros(lanes << BITS2, np.int32)
-        self.lane1, self.lane2 = self.lane << BITS1, self.lane << BITS2
+        self.next = np.zeros((lanes << BITS1) + (lanes << BITS2), np.int32)
+        self.slots = np.stack([lane << BITS1, (lanes << BITS1) + (lane << BITS2)])
         # How often a prediction of each order and confidence is right, in 65536ths.
-        self.rates = np.tile(np.array([8, 16, 32, 48, 8, 24, 40, 56], np.int64) << 10, lanes)
-        self.kinds1, self.kinds2 = self.lane * 8, self.lane * 8 + 4
-        self.before1 = self.before2 = np.zeros(lanes, np.int64)
-        self.steps = 0
+        self.rates = np.repeat(np.array([[8, 16, 32, 48], [8, 24, 40, 56]], np.int32) << 10, lanes, 0).reshape(-1)
+        self.kinds = np.stack([lane, lane + lanes]) << 2
+        self.context = np.zeros((2, lanes), U32)
+        self.before1 = self.before2 = np.zeros(lanes, U32)
+        self.seen: list[np.ndarray] = []
         self.rebuild()
 
     def rebuild(self) -> None:
         """Sums of the groups' counts, scaled to 2**PART with one for each group."""
-        sums = np.zeros((len(self.lane), self.stride), np.int64)
+        if self.seen:
+            self.counts += WEIGHT * np.bincount(np.concatenate(self.seen), minlength=self.counts.size).reshape(self.counts.shape)
+            self.seen = []
+        sums = np.zeros((self.lanes, self.groups + 1), np.int64)
         np.cumsum(self.counts, axis=1, out=sums[:, 1:])
         sums *= (((1 << PART) - self.groups) << 20) // sums[:, -1:]
         sums >>= 20
-        sums += np.arange(self.stride)
+        sums += np.arange(self.groups + 1)
         sums[:, -1] = 1 << PART
-        self.sums = sums.reshape(-1)
-        self.keyed = (sums[:, :-1] + self.mark[:, None]).astype(np.int32).reshape(-1)
+        self.sums = sums.astype(np.int32).reshape(-1)
+        self.keyed = (self.sums.reshape(sums.shape)[:, :-1] + self.mark[:, None]).reshape(-1)
 
     def predict(self) -> None:
-        mixed = self.before1 * 40503
-        self.slot1 = self.lane1 + ((mixed >> 3) & ((1 << BITS1) - 1))
-        self.slot2 = self.lane2 + (((mixed + self.before2 * 30011) >> 2) & ((1 << BITS2) - 1))
-        self.had1, self.had2 = self.next1[self.slot1], self.next2[self.slot2]
-        self.guess1, self.guess2 = (self.had1 >> 2) - 1, (self.had2 >> 2) - 1
-        self.kind1, self.kind2 = self.kinds1 + (self.had1 & 3), self.kinds2 + (self.had2 & 3)
-        self.rate1, self.rate2 = self.rates[self.kind1], self.rates[self.kind2]
-        self.part2 = (self.rate2 << (SCALE - 17)) * (self.had2 > 0)
-        share1 = (((1 << SCALE) - self.part2) >> 17) * self.rate1
-        self.part1 = share1 * ((self.had1 > 0) & (self.guess1 != self.guess2))
+        mixed = self.before1 * U32(40503)
+        self.context[0] = (mixed >> U32(3)) & U32((1 << BITS1) - 1)
+        self.context[1] = ((mixed + self.before2 * U32(30011)) >> U32(2)) & U32((1 << BITS2) - 1)
+        self.slot = self.context + self.slots
+        self.had = self.next.take(self.slot)
+        self.guess, self.trust, self.known = (self.had >> 2) - 1, self.had & 3, self.had > 0
+        self.kind = self.trust + self.kinds
+        self.rate = self.rates.take(self.kind)
+        rate1, rate2 = np.where(self.known, self.rate, 0)
+        self.part2 = rate2 << (SCALE - 17)
+        self.part1 = np.where(self.guess[0] != self.guess[1], (((1 << SCALE) - self.part2) >> 17) * rate1, 0)
         self.base = self.part1 + self.part2
-        self.rest = (1 << SCALE) - self.base
+        self.unit = ((1 << SCALE) - self.base) >> PART
 
-    def interval(self, ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    def interval(self, ids: np.ndarray, group: np.ndarray, low: np.ndarray, width: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Start and width of the ids in the split range."""
-        at = self.at_sums + self.alphabet.group[ids]
-        start = self.sums[at] * self.rest >> PART
-        room = (self.sums[at + 1] * self.rest >> PART) - start
-        low = room * self.alphabet.low[ids] >> INNER
-        width = (room * self.alphabet.high[ids] >> INNER) - low
-        lo = self.base + start + low
-        is1, is2 = ids == self.guess1, ids == self.guess2
-        lo, width = np.where(is1, self.part2, lo), np.where(is1, self.part1, width)
+        at = self.at_sums + group
+        first = self.sums.take(at)
+        room = ((self.sums.take(at + 1) - first) * self.unit) >> INNER
+        is1, is2 = self.right = self.guess == ids
+        lo = np.where(is1, self.part2, self.base + first * self.unit + low * room)
+        width = np.where(is1, self.part1, width * room)
         return np.where(is2, 0, lo), np.where(is2, self.part2, width)
 
-    def find(self, value: np.ndarray) -> np.ndarray:
-        """The ids in whose intervals the values lie."""
+    def find(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids in whose intervals the values lie, and their groups."""
         inside = np.maximum(value - self.base, 0)
-        rank = (((inside + 1) << PART) - 1) // self.rest
-        group = np.searchsorted(self.keyed, (rank + self.mark).astype(np.int32), side="right") - 1 - self.at_counts
+        rank = np.minimum(inside.view(U32) // self.unit.view(U32), U32((1 << PART) - 1)).view(np.int32)
+        group = np.searchsorted(self.keyed, rank + self.mark, side="right") - 1 - self.at_counts
         at = self.at_sums + group
-        start = self.sums[at] * self.rest >> PART
-        room = (self.sums[at + 1] * self.rest >> PART) - start
-        rank = (((inside - start + 1) << INNER) - 1) // room
-        ids = np.searchsorted(self.alphabet.keyed, (group << INNER) + rank, side="right") - 1
-        return np.where(value < self.part2, self.guess2, np.where(value < self.base, self.guess1, ids))
-
-    def update(self, ids: np.ndarray) -> None:
-        fresh = (ids + 1) << 2
-        for slot, had, guess, kind, rate, nexts in ((self.slot1, self.had1, self.guess1, self.kind1, self.rate1, self.next1), (self.slot2, self.had2, self.guess2, self.kind2, self.rate2, self.next2)):
-            right = guess == ids
-            trust = had & 3
-            nexts[slot] = np.where(right, had + (trust < 3), np.where(trust > 0, had - 1, fresh))
-            # Rates stay between 1/64 and 63/64, and the two parts leave at least a quarter of the range.
-            self.rates[kind] = rate + ((right * 63488 + 1024 - rate) >> SPEED) * (had > 0)
-        self.flat_counts[self.at_counts + self.alphabet.group[ids]] += WEIGHT
-        self.before2, self.before1 = self.before1, ids
-        self.steps += 1
-        if self.steps % REBUILD == 0:
+        first = self.sums.take(at)
+        room = ((self.sums.take(at + 1) - first) * self.unit) >> INNER
+        rank = np.minimum((inside - first * self.unit).view(U32) // room.view(U32), U32((1 << INNER) - 1))
+        ids = self.alphabet.owner.take((group << INNER) + rank)
+        guessed = value < self.base
+        if guessed.any():
+            ids = np.where(guessed, np.where(value < self.part2, self.guess[1], self.guess[0]), ids)
+            group = self.alphabet.group.take(ids)
+        return ids, group
+
+    def update(self, ids: np.ndarray, group: np.ndarray) -> None:
+        right, had, trust, rate = self.right, self.had, self.trust, self.rate
+        self.next[self.slot] = np.where(right, np.where(trust < 3, had + 1, had), np.where(trust > 0, had - 1, (ids + 1) << 2))
+        # Rates stay between 1/64 and 63/64, and the two parts leave at least a quarter of the range.
+        self.rates[self.kind] = np.where(self.known, rate + ((np.where(right, np.int32(64512), np.int32(1024)) - rate) >> SPEED), rate)
+        self.before2, self.before1 = self.before1, ids.view(U32)
+        self.seen.append(self.at_counts + group)
+        if len(self.seen) == REBUILD:
             self.rebuild()
 
 
-def _shape(n: int) -> int:
-    """Number of blocks of a frame; all have n // blocks ids, the first n % blocks one more."""
-    return max(1, min(n // BLOCK_IDS, MOST_BLOCKS))
+def _layout(n: int) -> tuple[int, int, np.ndarray]:
+    """(ids of a block, blocks that have one more, where each block starts) of a frame of n ids."""
+    blocks = max(1, min(n // BLOCK_IDS, MOST_BLOCKS))
+    each, more = n // blocks, n % blocks
+    return each, more, np.arange(blocks) * each + np.minimum(np.arange(blocks), more)
+
+
+def _sums(ids: np.ndarray, starts: np.ndarray) -> list[int]:
+    """crc32 of each block."""
+    data = memoryview(ids.astype("<u4").tobytes())
+    return [crc32(data[4 * a : 4 * b]) for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(ids)], strict=True)]
 
 
-def _matrix(n: int, blocks: int) -> tuple[int, int]:
-    return n // blocks, n % blocks
+def _alphabet(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(distinct ids, place of each id among them, how often each occurs)."""
+    if len(ids) and ids.max() >= TABLE:
+        return np.unique(ids, return_inverse=True, return_counts=True)
+    often = np.bincount(ids)
+    alphabet = np.flatnonzero(often)
+    place = np.zeros(len(often), np.int64)
+    place[alphabet] = np.arange(len(alphabet))
+    return alphabet, place[ids], often[alphabet]
 
 
-TOP, BOTTOM, LOW = U64(1 << 48), U64(1 << 32), U64((1 << 32) - 1)
+#: Below this range a block gives out a word.
+BOTTOM, WORD = U64(1 << 32), U64(32)
 
 
 def encode(ids: np.ndarray) -> bytes:
     """A frame of ids (any integers from 0 to 2**32 - 1)."""
     ids = np.asarray(ids, np.int64)
     n = len(ids)
-    alphabet, symbols, often = np.unique(ids, return_inverse=True, return_counts=True)
-    blocks = _shape(n)
+    alphabet, symbols, often = _alphabet(ids)
     # The frame's own frequencies, as powers of two, are where the order-0 table of every block starts.
-    levels = np.clip(np.round(np.log2(often / max(n, 1)) + 20), 0, 20).astype(np.uint8) if n else np.empty(0, np.uint8)
-    each, more = _matrix(n, blocks)
-    words, sizes = [], np.zeros(blocks, np.int64)
-    if n:
-        starts = np.arange(blocks) * each + np.minimum(np.arange(blocks), more)
-        words, sizes = _encode(symbols, starts, each, more, _Alphabet(levels))
-    starts = np.arange(blocks) * each + np.minimum(np.arange(blocks), more)
-    sums = [crc32(ids[s : s + each + (b < more)].astype("<u4").tobytes()) for b, s in enumerate(starts.tolist())]
-    head = MAGIC + struct.pack("<III", n, blocks, len(alphabet)) + alphabet.astype("<u4").tobytes() + levels.tobytes() + sizes.astype("<u4").tobytes() + np.array(sums, "<u4").tobytes()
+    levels = np.clip(np.round(np.log2(often / max(n, 1)) + 20), 0, 20).astype(np.uint8)
+    each, more, starts = _layout(n)
+    words, sizes = _encode(symbols.astype(np.int32), starts, each, more, _Alphabet(levels)) if n else ([], np.zeros(1, np.int64))
+    head = MAGIC + struct.pack("<III", n, len(starts), len(alphabet)) + alphabet.astype("<u4").tobytes() + levels.tobytes() + sizes.astype("<u4").tobytes() + np.array(_sums(ids, starts), "<u4").tobytes()
     body = head + b"".join(words)
     return body + struct.pack("<I", crc32(body))
 
@@ -168,38 +181,42 @@ def _encode(symbols: np.ndarray, starts: np.ndarray, each: int, more: int, alpha
     lanes = len(starts)
     model = _Model(lanes, alphabet)
     low, span = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64)
-    out = np.zeros((lanes, 64 + each * 4), "<u2")
-    flat, row, pos = out.reshape(-1), np.arange(lanes) * out.shape[1], np.zeros(lanes, np.int64)
-    shift, word = U64(16), U64(48)
+    out = np.zeros((lanes, each + 4), "<u4")
+    carries = np.zeros(out.size, bool)
+    flat, pos = out.reshape(-1), np.arange(lanes) * out.shape[1]
+    begin = pos.copy()
 
     def put(lo: np.ndarray, width: np.ndarray, n: int) -> None:
         unit = span[:n] >> U64(SCALE)
-        low[:n] += unit * lo[:n].astype(U64)
+        add = unit * lo[:n].astype(U64)
+        low[:n] += add
+        over = np.flatnonzero(low[:n] < add)
+        if len(over):  # one more for the word before
+            carries[pos[over] - 1] = True
         span[:n] = unit * width[:n].astype(U64)
-        while True:
-            x, r = low[:n], span[:n]
-            same, short = (x ^ (x + r)) < TOP, r < BOTTOM
-            go = same | short
-            if not go.any():
-                break
-            flat[row[:n] + pos[:n]] = x >> word  # counts where pos goes on, is written over elsewhere
-            pos[:n] += go
-            r = np.where(short & ~same, (~x + U64(1)) & LOW, r)
-            low[:n], span[:n] = np.where(go, x << shift, x), np.where(go, r << shift, r)
-
-    for t in range(each):
-        now = symbols[starts + t]
+        full = np.flatnonzero(span[:n] < BOTTOM)
+        if len(full):
+            was, at = low[full], pos[full]
+            flat[at] = was >> WORD
+            pos[full] = at + 1
+            low[full] = was << WORD
+            span[full] <<= WORD
+
+    for t in range(each + (more > 0)):
+        ids = symbols[starts + t if t < each else np.minimum(starts + each, len(symbols) - 1)]
+        group = alphabet.group.take(ids)
         model.predict()
-        put(*model.interval(now), lanes)
-        model.update(now)
-    if more:
-        now = symbols[np.minimum(starts + each, len(symbols) - 1)]
-        model.predict()
-        put(*model.interval(now), more)
-    for k in range(4):
-        flat[row + pos] = (low >> word) if k == 0 else ((low << U64(16 * k)) >> word)
+        put(*model.interval(ids, group, alphabet.low.take(ids), alphabet.width.take(ids)), lanes if t < each else more)
+        model.update(ids, group)
+    for word in (low >> WORD, low & (BOTTOM - U64(1))):
+        flat[pos] = word
         pos += 1
-    return [out[i, : pos[i]].tobytes() for i in range(lanes)], pos
+    at = np.flatnonzero(carries)
+    while len(at):  # a word that wraps hands its carry on
+        flat[at] += U32(1)
+        at = at[flat[at] == 0] - 1
+    sizes = pos - begin
+    return [out[i, : sizes[i]].tobytes() for i in range(lanes)], sizes
 
 
 def decode(frame: bytes) -> np.ndarray:
@@ -215,51 +232,40 @@ def decode(frame: bytes) -> np.ndarray:
     at += 8 * blocks
     if not n:
         return np.empty(0, np.int64)
-    each, more = _matrix(n, blocks)
-    starts = np.arange(blocks) * each + np.minimum(np.arange(blocks), more)
-    words = np.frombuffer(frame[at:-4] + b"\0\0" * 16, "<u2").astype(U64)
-    ids = alphabet[_decode(words, np.cumsum(sizes) - sizes, n, starts, each, more, _Alphabet(levels))]
-    for b, s in enumerate(starts.tolist()):
-        if crc32(ids[s : s + each + (b < more)].astype("<u4").tobytes()) != sums[b]:
+    each, more, starts = _layout(n)
+    words = np.frombuffer(frame[at:-4], "<u4").astype(U64)
+    ids = alphabet[_decode(words, np.cumsum(sizes) - sizes, n, each, more, _Alphabet(levels))]
+    for b, found in enumerate(_sums(ids, starts)):
+        if found != sums[b]:
             raise ValueError(f"block {b} is damaged")
     return ids
 
 
-def _decode(words: np.ndarray, pos: np.ndarray, n: int, starts: np.ndarray, each: int, more: int, alphabet: _Alphabet) -> np.ndarray:
-    lanes = len(starts)
+def _decode(words: np.ndarray, pos: np.ndarray, n: int, each: int, more: int, alphabet: _Alphabet) -> np.ndarray:
+    lanes = len(pos)
     model = _Model(lanes, alphabet)
-    low, span, code = np.zeros(lanes, U64), np.full(lanes, (1 << 64) - 1, U64), np.zeros(lanes, U64)
-    pos = pos.copy()
-    for _ in range(4):
-        code = (code << U64(16)) | words[pos]
-        pos += 1
-    out = np.empty(n, np.int64)
-    shift, most = U64(16), U64((1 << SCALE) - 1)
-
-    def take(m: int) -> np.ndarray:
-        unit = span >> U64(SCALE)
-        ids = model.find(np.minimum((code - low) // unit, most).astype(np.int64))
-        lo, width = model.interval(ids)
-        low[:m] += (unit * lo.astype(U64))[:m]
-        span[:m] = (unit * width.astype(U64))[:m]
-        while True:
-            x, r = low[:m], span[:m]
-            same, short = (x ^ (x + r)) < TOP, r < BOTTOM
-            go = same | short
-            if not go.any():
-                break
-            code[:m] = np.where(go, (code[:m] << shift) | words[pos[:m]], code[:m])
-            pos[:m] += go
-            r = np.where(short & ~same, (~x + U64(1)) & LOW, r)
-            low[:m], span[:m] = np.where(go, x << shift, x), np.where(go, r << shift, r)
-        return ids
-
-    for t in range(each):
+    span = np.full(lanes, (1 << 64) - 1, U64)
+    code = (words[pos] << WORD) | words[pos + 1]  # as seen from the start of the range
+    pos = pos + 2
+    out, most = np.empty((each + (more > 0), lanes), np.int32), U64((1 << SCALE) - 1)
+    for t in range(each + (more > 0)):
         model.predict()
-        ids = take(lanes)
-        out[starts + t] = ids
-        model.update(ids)
-    if more:
-        model.predict()
-        out[starts[:more] + each] = take(more)[:more]
-    return out
+        unit = span >> U64(SCALE)
+        ids, group = model.find(np.minimum(code // unit, most).astype(np.int32))
+        out[t] = ids
+        if t == each:
+            break
+        lo, width = model.interval(ids, group, alphabet.low.take(ids), alphabet.width.take(ids))
+        code -= unit * lo.astype(U64)
+        span = unit * width.astype(U64)
+        full = np.flatnonzero(span < BOTTOM)
+        if len(full):
+            at = pos[full]
+            code[full] = (code[full] << WORD) | words[at]
+            pos[full] = at + 1
+            span[full] <<= WORD
+        model.update(ids, group)
+    found = np.empty(n, np.int32)
+    found[: more * (each + 1)] = out[:, :more].T.reshape(-1)
+    found[more * (each + 1) :] = out[:each, more:].T.reshape(-1)
+    return found

@@ -7,6 +7,7 @@ from zlib import crc32
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -15,7 +16,7 @@ from . import range_coder
 from .common import slices, words_of
 
 #: Ids from which on a frame is closed; words a worker remembers.
-FRAME_IDS, REMEMBERED = 1_000_000, 500_000
+FRAME_IDS, REMEMBERED = 1_000_000, 1_000_000
 #: Rows of the file format, in Parquet: a frame holds whole documents; part and seq give the frames' order.
 FRAMES = "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, frame binary"
 DECODED = "part int, seq int, place int, doc_id long, n_tokens long, before long, ids_crc32 long"
@@ -27,7 +28,8 @@ def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     """texts -> (ids of all texts, number of ids of each).
 
     The tokenizer drops white space and joins nothing across it, so that a text's ids are those of its words in
-    turn: each distinct word goes through the tokenizers library once, and is remembered for some time.
+    turn: each distinct word goes through the tokenizers library once, and is remembered for some time. It lower-cases
+    too, but for the names of its special tokens, so that words that differ by A-Z alone count as one.
     """
     if path in _encoders:
         return _encoders[path]
@@ -36,7 +38,8 @@ def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     tokenizer, known = Tokenizer.from_file(path), {}
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        rows, codes, words = words_of(texts)
+        special = pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py()
+        rows, codes, words = words_of(texts if special else pc.ascii_lower(texts))
         if len(known) > REMEMBERED:
             known.clear()
         new = [w for w in words if w not in known]

@@ -17,6 +17,8 @@ from .common import slices, words_of
 
 #: Ids from which on a frame is closed; words a worker remembers.
 FRAME_IDS, REMEMBERED = 1_000_000, 1_000_000
+#: Bytes of texts whose capitals stay: special tokens, and the first byte of U+0300 to U+033F.
+AS_IS = (b"<|", b"\xcc")
 #: Rows of the file format, in Parquet: a frame holds whole documents; part and seq give the frames' order.
 FRAMES = "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, frame binary"
 DECODED = "part int, seq int, place int, doc_id long, n_tokens long, before long, ids_crc32 long"
@@ -29,7 +31,8 @@ def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
 
     The tokenizer drops white space and joins nothing across it, so that a text's ids are those of its words in
     turn: each distinct word goes through the tokenizers library once, and is remembered for some time. It lower-cases
-    too, but for the names of its special tokens, so that words that differ by A-Z alone count as one.
+    too, so that words that differ by A-Z alone count as one; but for texts that may hold names of its special tokens,
+    or combining marks, which it joins to some small letters and not to their capitals.
     """
     if path in _encoders:
         return _encoders[path]
@@ -38,8 +41,9 @@ def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
     tokenizer, known = Tokenizer.from_file(path), {}
 
     def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        special = pc.any(pc.match_substring(texts, "<|"), min_count=0).as_py()
-        rows, codes, words = words_of(texts if special else pc.ascii_lower(texts))
+        raw = texts.cast(pa.binary())
+        as_is = any(pc.any(pc.match_substring(raw, mark), min_count=0).as_py() for mark in AS_IS)
+        rows, codes, words = words_of(texts if as_is else pc.ascii_lower(texts))
         if len(known) > REMEMBERED:
             known.clear()
         new = [w for w in words if w not in known]

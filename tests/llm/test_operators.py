@@ -298,7 +298,7 @@ def test_tokens_round_trip(spark, docs, tmp_path):
 
 
 def test_tokens_awkward(spark, awkward, empty, tmp_path):
-    texts = ["e\u0301 caf\u00e9 \u0130I", "a\u00a0b\u2003c", "<|endoftext|> x<|startoftext|>y", "don't  DON'T 's", "\u4e2d\u6587 \u0e44\u0e17\u0e22", "\x1c\x1d\x85z \x0b\x0c", "\u0301a \u200d\u0301"]
+    texts = ["e\u0301 caf\u00e9 \u0130I", "a\u00a0b\u2003c", "<|endoftext|> x<|startoftext|>y", "don't  DON'T 's", "\u4e2d\u6587 \u0e44\u0e17\u0e22", "\x1c\x1d\x85z \x0b\x0c", "\u0301a \u200d\u0301", "J\u030c j\u030c H\u0331", "<|ENDOFTEXT|> A", "\u212a K"]
     odd = spark.createDataFrame([*AWKWARD, *[(100 + i, t, None, None, 0) for i, t in enumerate(texts)]], DOCS)
     got = Counter((r["doc_id"], tuple(r["ids"])) for r in rows(token_store.read_tokens(spark, stored(spark, odd, tmp_path / "a"))))
     local = rows(odd)

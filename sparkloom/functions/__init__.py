@@ -1,3 +1,3 @@
 """The operator catalogue; importing it registers all operators."""
 
-from . import images, lists, scalar, strings  # noqa: F401
+from . import binarize, images, lists, scalar, strings  # noqa: F401

@@ -18,6 +18,9 @@ from pyspark.sql import functions as F
 from .. import functions  # noqa: F401  registers the operators
 from ..registry import REGISTRY, SPARK_TYPES, EngineConf, OpSpec, Registry
 
+#: Families that work in pandas UDFs, which Spark allows in no lambda of a later step.
+OWN_COLUMN = {"binarize"}
+
 
 @dataclass(frozen=True)
 class Input:
@@ -85,7 +88,7 @@ def render(outputs: Sequence[Node]) -> str:
 
 
 def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGISTRY, conf: EngineConf | None = None, fallbacks: dict[str, object] | None = None) -> DataFrame:
-    """df with one column per output. Calls used more than once are columns of their own, level by level; the rest nests."""
+    """df with one column per output. Calls used more than once, and Python UDFs, are columns of their own, level by level; the rest nests."""
     roots = list(outputs.values())
     order = steps(roots)
     uses: dict[Node, int] = {}
@@ -114,7 +117,7 @@ def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGIST
         if fallbacks and spec.fallback is None and spec.returns in fallbacks:
             out = F.coalesce(out, F.lit(fallbacks[spec.returns]))
         level = max((depth.get(a, 0) for a in c.args), default=0)
-        if uses[c] > 1:
+        if uses[c] > 1 or spec.family in OWN_COLUMN:
             names[c] = f"__t{k}"
             while len(levels) <= level:
                 levels.append({})

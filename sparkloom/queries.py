@@ -111,6 +111,13 @@ def image_windows(spark, sf_dir):
     return _images(spark, sf_dir).select("vec_id", total(op("avgpool_blocks", a, F.lit(2.0))).alias("avg_blocks"), total(op("maxpool_blocks", a, F.lit(4.0))).alias("max_blocks"))
 
 
+def image_binary(spark, sf_dir):
+    """How many pixels each way of binarisation sets."""
+    a = F.col("img")
+    made = {"manual": op("binarize_manual2D", a, F.lit(102), types=["image", "int"]), "adaptive": op("binarize_adaptive2D", a, F.lit(5)), "niblack": op("binarize_niblack2D", a, F.lit(5)), "sauvola": op("binarize_sauvola2D", a, F.lit(5))}
+    return _images(spark, sf_dir).select("vec_id", *[F.aggregate(c["pixels"], F.lit(0.0), lambda s, x: s + x).alias(k) for k, c in made.items()])
+
+
 def _network(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """Nodes and edges from the events: each event leads to its user's next one."""
     from pyspark.sql import Window
@@ -160,7 +167,7 @@ def archive_best(spark, sf_dir):
     return population.archive_insert(o.where("ind_id % 2 = 0"), o.where("ind_id % 2 = 1"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (fuel_cost, program_outputs, scalar_numbers, scalar_conditions, strings, list_masks, list_arithmetic, list_sets, list_pairs, image_pixels, image_windows, network_top, network_fittest, network_behaviours, loss_levenshtein, elite_orders, pareto_parts, archive_best)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (fuel_cost, program_outputs, scalar_numbers, scalar_conditions, strings, list_masks, list_arithmetic, list_sets, list_pairs, image_pixels, image_windows, image_binary, network_top, network_fittest, network_behaviours, loss_levenshtein, elite_orders, pareto_parts, archive_best)}
 
 
 def _shown(**lists: str) -> str:
@@ -193,6 +200,10 @@ ORACLE_SQL: dict[str, str] = {
     "list_pairs": f"{_LISTS} select l_orderkey, (len(v) * len(p))::bigint as products, (len(v) * (len(v) - 1) // 2)::bigint as combinations, " + _shown(zipped="list_transform(v, lambda x, i: x + p[i])", greater="list_transform(v, lambda x, i: (x > p[i])::int)") + " from o",
     "image_pixels": f"{_IMAGES} select vec_id, round(list_sum(list_transform(p, lambda x: abs(1 - x))), 5) as inverted, round(list_sum(list_transform(p, lambda x: x * 0.5)), 5) as half, round(list_sum(list_transform(p, lambda x: x * x)), 5) as squared, list_sum(list_transform(p, lambda x: (x > 0.5)::int::double)) as white, round(list_avg(p), 6) as mean, round(list_stddev_samp(p), 6) as std, ((list_position(p, list_max(p)) - 1) % 8 + 1)::bigint as row from i",
     "image_windows": f"{_IMAGES}, x as (select vec_id, unnest(p) as v, generate_subscripts(p, 1) - 1 as k from i), g as (select vec_id, avg(v) over (partition by vec_id, (k % 8) // 2, (k // 8) // 2) as a, max(v) over (partition by vec_id, (k % 8) // 4, (k // 8) // 4) as m from x) select vec_id, round(sum(a), 5) as avg_blocks, round(sum(m), 5) as max_blocks from g group by vec_id",
+    "image_binary": f"""{_IMAGES}, x as (select vec_id, unnest(p) as v, generate_subscripts(p, 1) - 1 as k from i),
+        n as (select a.vec_id, a.k, any_value(a.v) as v, avg(b.v) as m, stddev_pop(b.v) as s, avg(b.v) filter (where abs(a.k % 8 - b.k % 8) <= 2 and abs(a.k // 8 - b.k // 8) <= 2) as near
+            from x a join x b on a.vec_id = b.vec_id and abs(a.k % 8 - b.k % 8) <= 5 and abs(a.k // 8 - b.k // 8) <= 5 group by 1, 2)
+        select vec_id, count_if(v >= 0.4)::double as manual, count_if(v > near * 0.85)::double as adaptive, count_if(v > m + 0.2 * s)::double as niblack, count_if(v > m * (1 + 0.2 * (s / 0.5 - 1)))::double as sauvola from n group by vec_id""",
     "network_top": f"{_NETWORK}, t as (select _to, fitness, max(iteration) as iteration from edges group by _to, fitness order by fitness, iteration desc, _to limit 3) select id_hash, behavior, fitness, iteration from nodes join t on id_hash = _to",
     "network_fittest": f"{_NETWORK}, r as (select id_hash, behavior, fitness, row_number() over (partition by behavior order by fitness, id_hash) as rn from edges join nodes on id_hash = _to) select id_hash, behavior, fitness from r where rn = 1",
     "network_behaviours": f"{_NETWORK} select behavior, max(iteration) as newness from edges join nodes on id_hash = _to group by behavior",

@@ -14,6 +14,8 @@ from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
+#: What str.split() takes for white space beside ASCII's.
+WIDE_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -83,9 +85,13 @@ def slices(texts: pa.Array, most_bytes: int = 8 << 20):
         yield start, len(sizes) - start
 
 
-def words_of(texts: pa.Array):
-    """The ASCII-white-space words of each text, as (row of each word, code of each word, distinct words)."""
+def words_of(texts: pa.Array, wide: bool = False):
+    """The ASCII-white-space words of each text, as (row of each word, code of each word, distinct words); with ``wide`` those of str.split()."""
     texts = pc.fill_null(texts, "")
+    if wide:
+        some = pc.match_substring_regex(texts, WIDE_SPACE)
+        if pc.any(some, min_count=0).as_py():
+            texts = pc.replace_with_mask(texts, some, pc.replace_substring_regex(texts.filter(some), WIDE_SPACE, " "))
     lists = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(texts))
     lengths = pc.list_value_length(lists).to_numpy(zero_copy_only=False)
     rows = np.repeat(np.arange(len(texts), dtype=np.int64), lengths)

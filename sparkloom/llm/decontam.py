@@ -37,8 +37,10 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], n: int = SEED_WORDS):
         self.n, self.vocabulary = n, {}
         self.ids, self.words = [], []
-        for item, text in items:
-            words = [w for t in (text or "").split() if (w := normal(t))]
+        rows, codes, tokens = words_of(pa.array([text for _, text in items], pa.string()), wide=True)
+        edges, forms = np.searchsorted(rows, np.arange(len(items) + 1)), [normal(t) for t in tokens]
+        for (item, _), lo, hi in zip(items, edges[:-1], edges[1:], strict=True):
+            words = [w for c in codes[lo:hi].tolist() if (w := forms[c])]
             if len(words) >= n:
                 self.ids.append(item)
                 self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
@@ -84,7 +86,7 @@ class Items:
 def _documents(items: Items, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word ids) of the documents; words of no item are -1, tokens without letter or digit are left out."""
     for start, size in slices(column):
-        rows, codes, tokens = words_of(column.slice(start, size))
+        rows, codes, tokens = words_of(column.slice(start, size), wide=True)
         if not len(codes):
             continue
         known = items.vocabulary
@@ -160,7 +162,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """docs with ``leaks``: the benchmark items (item_id, score) of which the text holds a copy, exact or edited.
 
     score is the alignment's share of the item's length, from ``least`` on. Words are compared in lower case without
-    signs at their ends. Items go in blocks of about ``block_bytes`` of text, each block against all documents: first
+    signs at their ends; Unicode white space parts them, in documents as in items. Items go in blocks of about ``block_bytes`` of text, each block against all documents: first
     the documents that hold each n-gram of a block are counted, then of any two neighbouring n-grams the rarer is a
     seed, and where a document holds seeds of an item it is aligned with the text around them. Frequency only decides
     between neighbours: a passage that every document repeats still has its seeds.

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import Counter
 from zlib import crc32
 
 import numpy as np
@@ -61,10 +60,11 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int =
     rng = np.random.default_rng(seed)
     docs = []
     for text in texts:
-        times = Counter((text or "").split())
-        if times:
-            owner, ids = features(list(times))
-            n = np.bincount(ids, np.fromiter(times.values(), float, len(times))[owner])
+        _, codes, tokens = words_of(pa.array([text], pa.string()), wide=True)
+        if tokens:
+            times = np.bincount(codes, minlength=len(tokens))
+            owner, ids = features(tokens)
+            n = np.bincount(ids, times[owner])
             buckets = np.flatnonzero(n)
             docs.append((buckets, n[buckets] / n.sum()))
         else:
@@ -118,7 +118,7 @@ def _score(model: QualityModel, texts: pd.Series) -> np.ndarray:
         _seen[0] = (model, Remembered(3))
     sums = np.zeros((len(column), 3))
     for start, size in slices(column, 4 << 20):
-        rows, codes, tokens = words_of(column.slice(start, size))
+        rows, codes, tokens = words_of(column.slice(start, size), wide=True)
         table = _seen[0][1].of(tokens, model.score_tokens)
         for k in range(3):
             sums[start : start + size, k] = np.bincount(rows, weights=table[codes, k], minlength=size)

@@ -19,7 +19,7 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
-CONTAINER = frozenset("article main section div body td html".split())
+CONTAINER = frozenset("article main section div td".split())
 DROPPED = frozenset("head nav aside footer form script style noscript template iframe svg math canvas object button select input textarea label dialog menu audio video map".split())
 #: Parts of a class or id that mark what is not the article.
 NOISE = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar breadcrumb breadcrumbs ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer skip hidden".split())
@@ -49,18 +49,21 @@ def _names(attributes: str) -> tuple[list[str], bool]:
 
 
 class Page:
-    """Blocks of text, each with the containers around it; containers have a generalised tag-class path."""
+    """Blocks of text, each with the containers around it; containers have a generalised tag-class path.
+
+    Container 0 is the page's body, there from the start to the end; html and body tags only name it.
+    """
 
     def __init__(self, html: str):
-        self.paths: list[str] = []
-        self.parents: list[int] = []
-        self.tags: list[str] = []
-        self.names: list[list[str]] = []
+        self.paths: list[str] = ["body"]
+        self.parents: list[int] = [-1]
+        self.tags: list[str] = ["body"]
+        self.names: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
         self._read(html)
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = [("", -1, False, False)]  # tag, container, dropped, in a link
+        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, dropped, in a link
         text: list[str] = []
         linked = 0
 
@@ -100,6 +103,12 @@ class Page:
                 if depth:
                     pop_to(depth)
                 continue
+            if tag in ("html", "body"):
+                close_block()
+                if tag == "body" and len(self.paths) == 1 and not self.names[0]:
+                    self.names[0] = _names(m[3])[0]
+                    self.paths[0] = ".".join(["body", *sorted(set(self.names[0]))])
+                continue
             _, around, dropped, link = stack[-1]
             if tag in BLOCK:
                 for i in range(len(stack) - 1, 0, -1):  # an open p ends where a block starts; li, dt, dd, tr, td, option end at their like
@@ -120,10 +129,9 @@ class Page:
             if not dropped:
                 names, noise = _names(m[3])
                 inside = any(self.tags[c] in ("article", "main") for c in self._chain(around))
-                dropped = tag in DROPPED or noise and tag not in ("html", "body", "article", "main") or tag == "header" and not inside
+                dropped = tag in DROPPED or noise and tag not in ("article", "main") or tag == "header" and not inside
                 if tag in CONTAINER and not dropped:
-                    up = self.paths[around] + ">" if around >= 0 else ""
-                    self.paths.append(up + ".".join([tag, *sorted(set(names))]))
+                    self.paths.append(f"{self.paths[around]}>" + ".".join([tag, *sorted(set(names))]))
                     self.parents.append(around)
                     self.tags.append(tag)
                     self.names.append(names)
@@ -149,7 +157,7 @@ class Page:
                 gain *= 0.5
         for c in out:
             pieces = {p for n in self.names[c] for p in re.split(r"[^a-z]+", n)}
-            out[c] *= 4.0 if self.tags[c] in ("article", "main") else 2.0 if pieces & MAIN else 0.5 if self.tags[c] in ("body", "html") else 1.0
+            out[c] *= 4.0 if self.tags[c] in ("article", "main") else 2.0 if pieces & MAIN else 0.5 if self.tags[c] == "body" else 1.0
         return out
 
     def best(self) -> int:
@@ -161,7 +169,7 @@ class Page:
         chosen = {i for i, p in enumerate(self.paths) if p in paths}
         if not any(chosen.intersection(self._chain(c)) for c, _, _ in self.blocks):
             chosen = {self.best()}
-        return "\n".join(t for c, t, _ in self.blocks if chosen.intersection(self._chain(c)) or c == -1 and -1 in chosen)
+        return "\n".join(t for c, t, _ in self.blocks if chosen.intersection(self._chain(c)))
 
 
 def _voted(html: str | None) -> str | None:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from zlib import crc32
 
 import numpy as np
@@ -13,27 +14,37 @@ from pyspark.sql import functions as F
 from .common import crc32_of, slices, with_columns, words_of
 from .langid import Remembered
 
-#: Buckets of the hash (a power of two), length of the vectors, shortest and longest n-gram (bytes), passes, documents in a step, rate, longest token with n-grams.
-BUCKETS, WIDTH, SHORTEST, LONGEST, EPOCHS, BATCH, RATE, LONG_TOKEN = 1 << 16, 10, 3, 5, 12, 32, 0.5, 80
+#: Buckets of the hash (a power of two), length of the vectors, shortest and longest n-gram (bytes), passes, documents in a step, rate, bytes of tokens hashed at once.
+BUCKETS, WIDTH, SHORTEST, LONGEST, EPOCHS, BATCH, RATE, PIECE = 1 << 16, 10, 3, 5, 12, 32, 0.5, 1 << 18
 
 
-def features(tokens: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
-    """(token, bucket) of each token and of its n-grams of bytes, with marks at both ends; of very long tokens only the whole."""
+def features(tokens: list[str], buckets: int = BUCKETS) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Blocks of (token, bucket) of each token and of all its n-grams of bytes, with marks at both ends.
+
+    Blocks hold whole tokens; one longer than PIECE is hashed in pieces, each n-gram in the piece where it starts.
+    """
     marked = [b"<" + t.encode("utf-8", "surrogatepass") + b">" for t in tokens]
-    sizes = np.fromiter(map(len, marked), np.int64, len(marked))
-    codes = np.frombuffer(b"".join(marked), np.uint8).astype(np.uint32)
-    starts = np.cumsum(sizes) - sizes
-    owners, ids = [np.arange(len(tokens))], [np.fromiter(map(crc32, marked), np.int64, len(marked)) & (buckets - 1)]
-    for n in range(SHORTEST, LONGEST + 1):
-        each = np.where(sizes <= LONG_TOKEN, np.maximum(sizes - n + 1, 0), 0)
-        owner = np.repeat(np.arange(len(tokens)), each)
-        at = np.repeat(starts - (np.cumsum(each) - each), each) + np.arange(len(owner))
-        key = np.full(len(at), n * 2654435761 % (1 << 32), np.uint32)
-        for k in range(n):
-            key = (key ^ codes[at + k]) * np.uint32(16777619)
-        owners.append(owner)
-        ids.append(((key ^ key >> np.uint32(15)) & np.uint32(buckets - 1)).astype(np.int64))
-    return np.concatenate(owners), np.concatenate(ids)
+    start = 0
+    while start < len(marked):
+        end, held = start + 1, len(marked[start])
+        while end < len(marked) and held + len(marked[end]) <= PIECE:
+            held += len(marked[end])
+            end += 1
+        part = marked[start:end]
+        yield np.arange(start, end), np.fromiter(map(crc32, part), np.int64, len(part)) & (buckets - 1)
+        sizes = np.fromiter(map(len, part), np.int64, len(part))
+        data = np.frombuffer(b"".join(part), np.uint8)
+        for lo in range(0, held, PIECE):  # more than once only for a token by itself
+            owner = np.repeat(np.arange(len(part)), np.minimum(sizes - lo, PIECE))
+            room = np.cumsum(sizes)[owner] - np.arange(lo, lo + len(owner))  # bytes from here to the token's end
+            codes = data[lo : lo + PIECE + LONGEST - 1].astype(np.uint32)
+            for n in range(SHORTEST, LONGEST + 1):
+                at = np.flatnonzero(room >= n)
+                key = np.full(len(at), n * 2654435761 % (1 << 32), np.uint32)
+                for k in range(n):
+                    key = (key ^ codes[at + k]) * np.uint32(16777619)
+                yield start + owner[at], ((key ^ key >> np.uint32(15)) & np.uint32(buckets - 1)).astype(np.int64)
+        start = end
 
 
 class QualityModel:
@@ -45,9 +56,13 @@ class QualityModel:
 
     def score_tokens(self, tokens: list[str]) -> np.ndarray:
         """Both logits' sums and the number of features of each token."""
-        owner, ids = features(tokens, len(self.vectors))
-        parts = [np.bincount(owner, self.pushes[ids, k], len(tokens)) for k in range(2)]
-        return np.column_stack([*parts, np.bincount(owner, minlength=len(tokens))])
+        sums = np.zeros((len(tokens), 3))
+        for owner, ids in features(tokens, len(self.vectors)):
+            lo, hi = owner[0] if len(owner) else 0, owner[-1] + 1 if len(owner) else 0
+            for k in range(2):
+                sums[lo:hi, k] += np.bincount(owner - lo, self.pushes[ids, k], hi - lo)
+            sums[lo:hi, 2] += np.bincount(owner - lo, minlength=hi - lo)
+        return sums
 
     def score(self, logits: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Probability of label 1; without features the bias decides."""
@@ -63,8 +78,10 @@ def fit(texts: list[str | None], labels: list[int], seed: int = 7, epochs: int =
         _, codes, tokens = words_of(pa.array([text], pa.string()), wide=True)
         if tokens:
             times = np.bincount(codes, minlength=len(tokens))
-            owner, ids = features(tokens)
-            n = np.bincount(ids, times[owner])
+            n = np.zeros(BUCKETS)
+            for owner, ids in features(tokens):
+                few, of = np.unique(ids, return_inverse=True)
+                n[few] += np.bincount(of, times[owner], len(few))
             buckets = np.flatnonzero(n)
             docs.append((buckets, n[buckets] / n.sum()))
         else:

@@ -72,6 +72,17 @@ def crc32_of(id_col: str) -> Column:
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")))
 
 
+_memo: dict = {}
+
+
+def remembered(key, make):
+    """What make() gives, kept in this worker until another operator asks for its own: a worker holds one operator's memory at a time."""
+    if _memo.get("key") != key:
+        _memo.clear()
+        _memo.update(value=make(), key=key)
+    return _memo["value"]
+
+
 def slices(texts: pa.Array, most_bytes: int = 8 << 20):
     """(first row, rows) slices of a batch whose texts hold about most_bytes at most; a longer text is a slice of its own."""
     sizes = pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False).astype(np.int64)

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import json
+import os
+import re
 from collections.abc import Callable, Iterator
+from itertools import chain, repeat
 from zlib import crc32
 
 import numpy as np
@@ -13,57 +17,142 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from . import range_coder
-from .common import slices, words_of
+from .common import remembered, slices, words_of
 
-#: Ids from which on a frame is closed; words a worker remembers.
-FRAME_IDS, REMEMBERED = 1_000_000, 1_000_000
+#: Ids from which on a frame is closed; words and characters of words that a worker remembers; pieces, and bytes of texts, that are tokenised at once.
+FRAME_IDS, REMEMBERED, REMEMBERED_BYTES, PIECES, TEXT_BYTES = 2_500_000, 400_000, 1 << 24, 4096, 6 << 20
 #: Bytes of texts whose capitals stay: special tokens, and the first byte of U+0300 to U+033F.
 AS_IS = (b"<|", b"\xcc")
+#: The parts of a tokenizer's file that allow for tokenising word by word: white space falls out, nothing is joined across it.
+BY_WORD = {
+    "normalizer": {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]},
+    "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
+    "post_processor": None,
+}
+#: Words of these characters alone are their own normal form, and fall into pieces without tables of letters.
+PLAIN = re.compile("[!-;=-@\\[-~ß-öø-ÿ]+").fullmatch
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
 #: Rows of the file format, in Parquet: a frame holds whole documents; part and seq give the frames' order.
 FRAMES = "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, frame binary"
 DECODED = "part int, seq int, place int, doc_id long, n_tokens long, before long, ids_crc32 long"
 
-_encoders: dict[str, Callable] = {}
 
+class _WordEncoder:
+    """Ids of texts under a tokenizer that drops white space and joins nothing across it, by their words in turn.
 
-def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
-    """texts -> (ids of all texts, number of ids of each).
-
-    The tokenizer drops white space and joins nothing across it, so that a text's ids are those of its words in
-    turn: each distinct word goes through the tokenizers library once, and is remembered for some time. It lower-cases
-    too, so that words that differ by A-Z alone count as one; but for texts that may hold names of its special tokens,
-    or combining marks, which it joins to some small letters and not to their capitals.
+    Each distinct word goes through the tokenizers library once, and is remembered for some time. The tokenizer
+    lower-cases, so that words that differ by A-Z alone count as one; but for texts that may hold names of its special
+    tokens, or combining marks, which it joins to some small letters and not to their capitals. Words of plain letters
+    are cut into the tokenizer's pieces here, and the library merges the pieces.
     """
-    if path in _encoders:
-        return _encoders[path]
-    from tokenizers import Tokenizer
-
-    tokenizer, known = Tokenizer.from_file(path), {}
 
-    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+
+        self.whole, self.merging = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.merging.normalizer = normalizers.Sequence([])
+        self.merging.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        vocabulary = self.whole.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
+        self.known: dict[str, int] = {}
+        self.ids, self.sizes, self.starts, self.held = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64), 0
+
+    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all pieces in turn, number of ids of each)."""
+        ids, sizes = [], []
+        for at in range(0, len(pieces), PIECES):
+            part = pieces[at : at + PIECES]
+            found = np.array(self.merging.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
+            ends = np.flatnonzero(self.ends[found]) + 1
+            if len(ends) != len(part):
+                raise ValueError("a piece has no end, or several")
+            ids.append(found)
+            sizes.append(np.diff(np.r_[0, ends]))
+        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64))
+
+    def _learn(self, words: list[str]) -> np.ndarray:
+        """Remember new words; the place of each."""
+        is_plain = np.fromiter((PLAIN(w) is not None for w in words), bool, len(words))
+        plain, other = [w for w, p in zip(words, is_plain, strict=True) if p], [w for w, p in zip(words, is_plain, strict=True) if not p]
+        pieces = PIECE.findall("\n".join([*plain, ""]))
+        index = {"\n": 0} | {p: i for i, p in enumerate((p for p in dict.fromkeys(pieces) if p != "\n"), 1)}
+        at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
+        ids, sizes = self._encoded([*index][1:])
+        sizes = np.r_[0, sizes]  # the line feed after each word has no ids
+        each = np.cumsum(sizes[at])[at == 0]
+        encoded = [e.ids for i in range(0, len(other), 20_000) for e in self.whole.encode_batch_fast(other[i : i + 20_000], add_special_tokens=False)]
+        flat = np.concatenate([_gathered(ids, np.cumsum(sizes) - sizes, sizes, at), np.fromiter(chain.from_iterable(encoded), np.uint32)])
+        sizes = np.r_[np.diff(each, prepend=0), np.fromiter(map(len, encoded), np.int64, len(encoded))]
+        first = len(self.known)
+        self.known.update(zip([*plain, *other], range(first, first + len(words)), strict=True))
+        self.starts = np.r_[self.starts, len(self.ids) + np.cumsum(sizes) - sizes]
+        self.sizes = np.r_[self.sizes, sizes.astype(np.int32)]
+        self.ids = np.r_[self.ids, flat]
+        self.held += sum(map(len, words))
+        places = np.empty(len(words), np.int64)
+        places[is_plain] = first + np.arange(len(plain))
+        places[~is_plain] = first + len(plain) + np.arange(len(other))
+        return places
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """texts -> (ids of all texts, number of ids of each)."""
         raw = texts.cast(pa.binary())
         as_is = any(pc.any(pc.match_substring(raw, mark), min_count=0).as_py() for mark in AS_IS)
         rows, codes, words = words_of(texts if as_is else pc.ascii_lower(texts))
-        if len(known) > REMEMBERED:
-            known.clear()
-        new = [w for w in words if w not in known]
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, np.uint32).tobytes()
-        ids = [known[w] for w in words]
-        flat = np.frombuffer(b"".join(ids), np.uint32)
-        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        starts = np.cumsum(sizes) - sizes
-        each = sizes[codes]
-        total = int(each.sum())
-        places = np.repeat(starts[codes] - (np.cumsum(each) - each), each) + np.arange(total)
-        return flat[places], np.bincount(rows, weights=each, minlength=len(texts)).astype(np.int64)
-
-    _encoders[path] = encode
+        at = np.fromiter(map(self.known.get, words, repeat(-1)), np.int64, len(words))
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            if len(self.known) + len(new) > REMEMBERED or self.held > REMEMBERED_BYTES:  # what this batch doesn't use is forgotten
+                self._keep(words, at)
+            at[new] = self._learn([words[i] for i in new.tolist()])
+        at = at[codes]
+        return _gathered(self.ids, self.starts, self.sizes, at), np.bincount(rows, weights=self.sizes[at], minlength=len(texts)).astype(np.int64)
+
+    def _keep(self, words: list[str], at: np.ndarray) -> None:
+        """Forget all but the known ones of these words, and set their new places."""
+        some = np.flatnonzero(at >= 0)
+        self.ids, self.sizes = _gathered(self.ids, self.starts, self.sizes, at[some]), self.sizes[at[some]]
+        self.starts = np.cumsum(self.sizes, dtype=np.int64) - self.sizes
+        at[some] = np.arange(len(some))
+        self.known = {words[i]: n for n, i in enumerate(some.tolist())}
+        self.held = sum(map(len, self.known))
+
+
+def _gathered(ids: np.ndarray, starts: np.ndarray, sizes: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The stretches of ids that start at starts, one after the other in the order of at."""
+    each = sizes[at]
+    shift = starts[at] - (np.cumsum(each, dtype=np.int64) - each)
+    return ids[np.repeat(shift, each) + np.arange(int(each.sum()))]
+
+
+def _whole_texts(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """Ids of texts under any tokenizer: each whole text goes through the library."""
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(path)
+
+    def encode(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        found = [e.ids for e in tokenizer.encode_batch_fast(texts.to_pylist(), add_special_tokens=False)]
+        return np.fromiter(chain.from_iterable(found), np.uint32), np.fromiter(map(len, found), np.int64, len(found))
+
     return encode
 
 
+def _encoder(path: str) -> Callable[[pa.Array], tuple[np.ndarray, np.ndarray]]:
+    """texts -> (ids of all texts, number of ids of each), word by word where the tokenizer's file allows for it."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # the tasks have the cores
+
+    def made():
+        with open(path, encoding="utf-8") as file:
+            said = json.load(file)
+        model = said["model"]
+        by_word = all(said.get(k) == v for k, v in BY_WORD.items()) and (model["type"], model.get("end_of_word_suffix"), model.get("dropout")) == ("BPE", "</w>", None)
+        return _WordEncoder(path) if by_word else _whole_texts(path)
+
+    return remembered(("tokens", path), made)
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2, id_col: str = "doc_id", text_col: str = "text", frame_ids: int = FRAME_IDS) -> None:
     """Write the ids of every whole text, and end_id after each, to ``out`` in ascending id order.
 
@@ -87,12 +176,12 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, out: str, end_id: int = 2
 
         for batch in batches:
             texts, names = batch.column("text"), batch.column("id").to_pylist()
-            for start, size in slices(texts, 2 << 20):
+            for start, size in slices(texts, TEXT_BYTES):
                 ids, sizes = encode(texts.slice(start, size))
-                ends = np.cumsum(sizes)
-                ids = np.insert(ids, ends, end_id)
+                ended = np.full(len(ids) + size, end_id, np.uint32)
+                ended[np.arange(len(ids)) + np.repeat(np.arange(size), sizes)] = ids
                 sizes = sizes + 1
-                held.append(ids)
+                held.append(ended)
                 doc_ids += names[start : start + size]
                 counts += sizes.tolist()
                 if sum(map(len, held)) >= frame_ids:
@@ -136,6 +225,7 @@ def token_index(spark: SparkSession, path: str) -> DataFrame:
     """
 
     def digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered(("frames",), dict)
         for batch in batches:
             for row in batch.to_pylist():
                 data = range_coder.decode(row["frame"]).astype("<u4")

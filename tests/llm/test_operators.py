@@ -270,6 +270,37 @@ def test_range_coder_round_trips():
     assert len(frame) < 60_000
 
 
+def test_contexts_save_a_tenth_over_frequencies(spark):
+    ids = np.concatenate([np.array(x) for x in expected_ids(r["text"] for r in rows(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").orderBy("doc_id")))])
+    often = np.bincount(ids)
+    share = often[often > 0] / len(ids)
+    assert 8 * len(range_coder.encode(ids)) / len(ids) < 0.9 * -(share * np.log2(share)).sum()
+
+
+def test_other_tokenizers_take_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    path, texts = str(public_tokenizers.path("byte_bpe_50k.json")), ["Hello  WORLD\n\n it's", "", " a b "]
+    ids, sizes = token_store._encoder(path)(pa.array(texts))
+    want = [e.ids for e in Tokenizer.from_file(path).encode_batch(texts, add_special_tokens=False)]
+    assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
+def test_forgetting_words_changes_no_ids(monkeypatch):
+    import public_tokenizers
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_store, "REMEMBERED", 40)
+    encode, rng = token_store._WordEncoder(str(public_tokenizers.path("word_bpe_49k.json"))), random.Random(2)
+    for _ in range(60):
+        texts = ["".join(rng.choice("aàbcéñßst''re019!?.,-~\u2019\u0301 \n") for _ in range(rng.randint(0, 60))) for _ in range(5)]
+        ids, sizes = encode(pa.array(texts))
+        want = [w[:-1] for w in expected_ids(texts)]
+        assert ids.tolist() == [i for w in want for i in w] and sizes.tolist() == [len(w) for w in want]
+
+
 def expected_ids(texts):
     import public_tokenizers
     from tokenizers import Tokenizer

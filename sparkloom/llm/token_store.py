@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from . import range_coder
 from .common import remembered, slices, words_of
 
-#: Ids from which on a frame is closed; words and characters of words that a worker remembers; pieces, and bytes of texts, that are tokenised at once.
-FRAME_IDS, REMEMBERED, REMEMBERED_BYTES, PIECES, TEXT_BYTES = 2_500_000, 400_000, 1 << 24, 4096, 6 << 20
+#: Ids from which on a frame is closed; words and characters of words that a worker remembers; bytes of texts that are tokenised at once.
+FRAME_IDS, REMEMBERED, REMEMBERED_BYTES, TEXT_BYTES = 2_500_000, 400_000, 1 << 24, 6 << 20
 #: Bytes of texts whose capitals stay: special tokens, and the first byte of U+0300 to U+033F.
 AS_IS = (b"<|", b"\xcc")
 #: The parts of a tokenizer's file that allow for tokenising word by word: white space falls out, nothing is joined across it.
@@ -29,9 +29,10 @@ BY_WORD = {
     "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]},
     "post_processor": None,
 }
-#: Words of these characters alone are their own normal form, and fall into pieces without tables of letters.
-PLAIN = re.compile("[!-;=-@\\[-~ß-öø-ÿ]+").fullmatch
-PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|\n|[^a-zß-öø-ÿ0-9\n]+")
+#: Lines with a character that is not plain. Plain words are their own normal form; their characters beyond ASCII, ß to ÿ, are letters of two bytes.
+ODD = re.compile("^.*[^\n!-;=-@\\[-~ß-öø-ÿ].*$", re.M)
+#: The tokenizer's pieces of plain words, their bytes written as one character each.
+PIECE = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\x80-\uffff]+|[0-9]|\n|[^a-z0-9\n\x80-\uffff]+")
 #: Rows of the file format, in Parquet: a frame holds whole documents; part and seq give the frames' order.
 FRAMES = "part int, seq int, doc_ids array<long>, counts array<long>, n_ids long, frame binary"
 DECODED = "part int, seq int, place int, doc_id long, n_tokens long, before long, ids_crc32 long"
@@ -47,39 +48,35 @@ class _WordEncoder:
     """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer, normalizers, pre_tokenizers
+        from tokenizers import Tokenizer, pre_tokenizers
 
-        self.whole, self.merging = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.merging.normalizer = normalizers.Sequence([])
-        self.merging.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.whole = Tokenizer.from_file(path)
+        self.model = self.whole.model
+        # The tokenizer's own characters for the bytes of ß, à and í that are not printable; other bytes stand for themselves.
+        self.signs = {c.encode()[1:].decode("latin-1"): pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False).pre_tokenize_str(c)[0][0][1] for c in "ßàí"}
         vocabulary = self.whole.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.known: dict[str, int] = {}
         self.ids, self.sizes, self.starts, self.held = np.empty(0, np.uint32), np.empty(0, np.int32), np.empty(0, np.int64), 0
 
-    def _encoded(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(ids of all pieces in turn, number of ids of each)."""
-        ids, sizes = [], []
-        for at in range(0, len(pieces), PIECES):
-            part = pieces[at : at + PIECES]
-            found = np.array(self.merging.encode_batch_fast([part], is_pretokenized=True, add_special_tokens=False)[0].ids, np.uint32)
-            ends = np.flatnonzero(self.ends[found]) + 1
-            if len(ends) != len(part):
-                raise ValueError("a piece has no end, or several")
-            ids.append(found)
-            sizes.append(np.diff(np.r_[0, ends]))
-        return (np.concatenate(ids), np.concatenate(sizes)) if ids else (np.empty(0, np.uint32), np.empty(0, np.int64))
-
     def _learn(self, words: list[str]) -> np.ndarray:
         """Remember new words; the place of each."""
-        is_plain = np.fromiter((PLAIN(w) is not None for w in words), bool, len(words))
-        plain, other = [w for w, p in zip(words, is_plain, strict=True) if p], [w for w, p in zip(words, is_plain, strict=True) if not p]
-        pieces = PIECE.findall("\n".join([*plain, ""]))
+        odd = set(ODD.findall("\n".join(words)))
+        is_plain = np.fromiter((w not in odd for w in words), bool, len(words))
+        plain, other = [w for w in words if w not in odd], [w for w in words if w in odd]
+        lines = "\n".join([*plain, ""]).encode().decode("latin-1")
+        for byte, sign in self.signs.items():
+            lines = lines.replace(byte, sign)
+        pieces = PIECE.findall(lines)
         index = {"\n": 0} | {p: i for i, p in enumerate((p for p in dict.fromkeys(pieces) if p != "\n"), 1)}
         at = np.fromiter(map(index.__getitem__, pieces), np.int64, len(pieces))
-        ids, sizes = self._encoded([*index][1:])
-        sizes = np.r_[0, sizes]  # the line feed after each word has no ids
+        merge = self.model.tokenize
+        ids = np.fromiter((token.id for piece in [*index][1:] for token in merge(piece)), np.uint32)
+        ends = np.flatnonzero(self.ends[ids]) + 1  # every piece has one end
+        if len(ends) != len(index) - 1:
+            raise ValueError("a piece has no end, or several")
+        sizes = np.r_[0, np.diff(ends, prepend=0)]  # the line feed after each word has no ids
         each = np.cumsum(sizes[at])[at == 0]
         encoded = [e.ids for i in range(0, len(other), 20_000) for e in self.whole.encode_batch_fast(other[i : i + 20_000], add_special_tokens=False)]
         flat = np.concatenate([_gathered(ids, np.cumsum(sizes) - sizes, sizes, at), np.fromiter(chain.from_iterable(encoded), np.uint32)])

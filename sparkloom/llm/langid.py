@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import numpy as np
 import pandas as pd
@@ -10,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, slices, with_columns, words_of, written
+from .common import crc32_of, remembered, slices, with_columns, words_of, written
 
 LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
@@ -34,18 +35,28 @@ def grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     return owner, key
 
 
+def word_keys(words: list[str]) -> np.ndarray:
+    """A 64-bit hash of each whole word."""
+    from xxhash import xxh64_intdigest
+
+    return np.fromiter((xxh64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+
+
 class LanguageModel:
-    """Log frequencies of words and of hashed character n-grams, one value per language."""
+    """Log frequencies of words and of character n-grams, both by hash, one value per language."""
 
     def __init__(self, counts: list[tuple[str, str, int]]):
+        self.uid = uuid.uuid4().hex
         self.languages = sorted({lang for lang, _, _ in counts})
         of = {lang: i for i, lang in enumerate(self.languages)}
         words = sorted({word for _, word, _ in counts})
-        self.words = {w: i for i, w in enumerate(words)}
+        index = {w: i for i, w in enumerate(words)}
         table = np.zeros((len(words), len(of)))
         for lang, word, n in counts:
-            table[self.words[word], of[lang]] += n
-        self.word_logs = self._logs(table)
+            table[index[word], of[lang]] += n
+        keys = word_keys(words)
+        order = np.argsort(keys)
+        self.word_keys, self.word_logs = keys[order], self._logs(table)[order]
         self.keys, self.gram_logs = [], []
         for n in range(1, LONGEST + 1):
             owner, key = grams(words, n)
@@ -62,10 +73,14 @@ class LanguageModel:
 
     def score_words(self, words: list[str]) -> np.ndarray:
         """Logs of each word; of an unseen word the mean over its n-grams of the greatest length of which one is known; else zeros."""
-        rows = np.fromiter((self.words.get(w, -1) for w in words), np.int64, len(words))
         out = np.zeros((len(words), len(self.languages)), np.float32)
-        out[rows >= 0] = self.word_logs[rows[rows >= 0]]
-        left = np.flatnonzero(rows < 0)
+        left = np.arange(len(words))
+        if len(self.word_keys) and words:
+            key = word_keys(words)
+            at = np.minimum(np.searchsorted(self.word_keys, key), len(self.word_keys) - 1)
+            known = self.word_keys[at] == key
+            out[known] = self.word_logs[at[known]]
+            left = np.flatnonzero(~known)
         for n in range(LONGEST, 0, -1):
             keys, logs = self.keys[n - 1], self.gram_logs[n - 1]
             if not len(left) or not len(keys):
@@ -123,21 +138,19 @@ class Remembered:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000, max_words: int = 30_000) -> LanguageModel:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000) -> LanguageModel:
     """Fit on a sample of labelled rows: by hash about ``per_language`` documents of each language (all, if it has fewer).
 
-    Words are counted in Spark; at most ``max_words`` of the most frequent words of each language come to the driver.
-    Rows with a null text or language are left out.
+    The words of the sample are counted in Spark, and the counts, which its rows bound, come to the driver: every word
+    of every sampled document. Rows with a null text or language are left out.
     """
     labelled = docs.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull()).select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang"))
     sizes = written(labelled.groupBy("lang").count(), "languages")  # its size is known when the join is planned
     chance = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
     sample = labelled.join(sizes, "lang").where(chance < F.lit(per_language) / F.col("count"))
-    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word")).groupBy("lang", "word").count()
-    # The sample is bounded, so is its table of words: the rank by language is over that table.
-    ranked = words.groupBy("lang").agg(F.slice(F.sort_array(F.collect_list(F.struct("count", "word")), asc=False), 1, max_words).alias("top"))
-    rows = ranked.select("lang", F.explode("top").alias("x")).select("lang", "x.word", "x.count").collect()
-    return LanguageModel([tuple(r) for r in rows])
+    words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
+    counts = words.groupBy("lang", "word").count().toArrow()
+    return LanguageModel(list(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "count")), strict=True)))
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:
@@ -157,18 +170,14 @@ def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> D
     return with_columns(marked, {"lang_pred": F.col("__lang.lang"), "lang_score": F.col("__lang.score")}).drop("__lang")
 
 
-_seen: dict[int, tuple] = {}
-
-
 def _predict(model: LanguageModel, texts: pd.Series) -> pd.DataFrame:
     column = pa.array(texts, pa.string(), from_pandas=True)
     n = len(model.languages)
-    if _seen.get(0, (None,))[0] is not model:
-        _seen[0] = (model, Remembered(n + 2))
+    seen = remembered(("language", model.uid), lambda: Remembered(n + 2))
     sums = np.zeros((len(column), n + 2))
     for start, size in slices(column, 4 << 20):
         rows, codes, tokens = words_of(column.slice(start, size))
-        table = _seen[0][1].of(tokens, model.score_tokens)
+        table = seen.of(tokens, model.score_tokens)
         for k in range(n + 2):
             sums[start : start + size, k] = np.bincount(rows, weights=table[codes, k], minlength=size)
     words = np.maximum(sums[:, n], 1.0)

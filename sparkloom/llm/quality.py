@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 from zlib import crc32
 
@@ -11,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc32_of, slices, with_columns, words_of
+from .common import crc32_of, remembered, slices, with_columns, words_of
 from .langid import Remembered
 
 #: Buckets of the hash (a power of two), length of the vectors, shortest and longest n-gram (bytes), passes, documents in a step, rate, bytes of tokens hashed at once.
@@ -52,7 +53,7 @@ class QualityModel:
 
     def __init__(self, vectors: np.ndarray, weights: np.ndarray, bias: np.ndarray):
         self.vectors, self.weights, self.bias = vectors, weights, bias
-        self.pushes = vectors @ weights
+        self.pushes, self.uid = vectors @ weights, uuid.uuid4().hex
 
     def score_tokens(self, tokens: list[str]) -> np.ndarray:
         """Both logits' sums and the number of features of each token."""
@@ -126,17 +127,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     return fit([r["text"] for r in rows], [r["label"] for r in rows])
 
 
-_seen: dict[int, tuple] = {}
-
-
 def _score(model: QualityModel, texts: pd.Series) -> np.ndarray:
     column = pa.array(texts, pa.string(), from_pandas=True)
-    if _seen.get(0, (None,))[0] is not model:
-        _seen[0] = (model, Remembered(3))
+    seen = remembered(("quality", model.uid), lambda: Remembered(3))
     sums = np.zeros((len(column), 3))
     for start, size in slices(column, 4 << 20):
         rows, codes, tokens = words_of(column.slice(start, size), wide=True)
-        table = _seen[0][1].of(tokens, model.score_tokens)
+        table = seen.of(tokens, model.score_tokens)
         for k in range(3):
             sums[start : start + size, k] = np.bincount(rows, weights=table[codes, k], minlength=size)
     return model.score(sums[:, :2], sums[:, 2])

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, with_columns, words_of
+from .common import remembered, slices, with_columns, words_of
 
 #: Words of a seed; the rarest of so many neighbouring n-grams is a seed; bytes of item text that are held at once.
 SEED_WORDS, NEIGHBOURS, BLOCK_BYTES = 3, 2, 8 << 20
@@ -37,25 +37,31 @@ class Items:
     def __init__(self, items: list[tuple[int, str]], n: int = SEED_WORDS):
         self.n, self.vocabulary = n, {}
         self.ids, self.words = [], []
+        #: Items of fewer words than a seed has, by their number of words: (item, words).
+        self.short: dict[int, list[tuple[int, np.ndarray]]] = defaultdict(list)
         rows, codes, tokens = words_of(pa.array([text for _, text in items], pa.string()), wide=True)
         edges, forms = np.searchsorted(rows, np.arange(len(items) + 1)), [normal(t) for t in tokens]
         for (item, _), lo, hi in zip(items, edges[:-1], edges[1:], strict=True):
             words = [w for c in codes[lo:hi].tolist() if (w := forms[c])]
+            numbers = np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64)
             if len(words) >= n:
                 self.ids.append(item)
-                self.words.append(np.array([self.vocabulary.setdefault(w, len(self.vocabulary)) for w in words], np.int64))
+                self.words.append(numbers)
+            elif words:
+                self.short[len(words)].append((item, numbers))
         self.places = defaultdict(list)
         for i, words in enumerate(self.words):
             for at, key in enumerate(self._keys(words)):
                 self.places[int(key)].append((i, at))
         self.keys = np.array(sorted(self.places), np.int64)
 
-    def _keys(self, words: np.ndarray) -> np.ndarray:
+    def _keys(self, words: np.ndarray, n: int | None = None) -> np.ndarray:
         """One number for each n-gram of words; -1 where a word is not in any item."""
-        m = len(words) - self.n + 1
+        n = n or self.n
+        m = len(words) - n + 1
         if m <= 0:
             return np.empty(0, np.int64)
-        parts = [words[k : k + m] for k in range(self.n)]
+        parts = [words[k : k + m] for k in range(n)]
         key, bad = np.zeros(m, np.int64), np.zeros(m, bool)
         for p in parts:  # vocabularies of a block stay under 2**21 words, by BLOCK_BYTES
             key = (key << 21) | np.maximum(p, 0)
@@ -72,6 +78,14 @@ class Items:
         same = keys[index] == found[at]
         return at[same], index[same]
 
+    def whole(self, words: np.ndarray) -> list[tuple[int, float]]:
+        """The short items whose words stand in a row among these."""
+        out = []
+        for n, items in self.short.items():
+            found = set(self._keys(words, n).tolist())
+            out += [(item, 1.0) for item, of in items if int(self._keys(of, n)[0]) in found]
+        return out
+
     def seeds(self, frequency: dict[int, int]) -> np.ndarray:
         """Of any NEIGHBOURS n-grams in a row the one that fewest documents hold."""
         chosen = set()
@@ -85,7 +99,8 @@ class Items:
 
 def _documents(items: Items, column: pa.Array) -> Iterator[tuple[int, np.ndarray]]:
     """(row, word ids) of the documents; words of no item are -1, tokens without letter or digit are left out."""
-    for start, size in slices(column):
+    remembered(("leaks",), dict)
+    for start, size in slices(column, 4 << 20):
         rows, codes, tokens = words_of(column.slice(start, size), wide=True)
         if not len(codes):
             continue
@@ -94,9 +109,10 @@ def _documents(items: Items, column: pa.Array) -> Iterator[tuple[int, np.ndarray
         ids = of[codes]
         real = ids != -2
         rows, ids = rows[real], ids[real]
-        # Only documents with enough known words in a row can hold a seed.
-        run = np.ones(max(0, len(ids) - items.n + 1), bool)
-        for k in range(items.n):
+        # Only documents with enough known words in a row can hold a seed or a short item.
+        least = min([items.n, *items.short])
+        run = np.ones(max(0, len(ids) - least + 1), bool)
+        for k in range(least):
             run &= ids[k : k + len(run)] >= 0
         edges = np.searchsorted(rows, np.arange(size + 1))
         for r in np.unique(rows[np.flatnonzero(run)]):
@@ -122,7 +138,7 @@ def leaks_of(items: Items, seeds: np.ndarray, words: np.ndarray, least: float =
     for p, k in zip(at.tolist(), which.tolist(), strict=True):
         for i, q in items.places[int(seeds[k])]:
             diagonals[i].add(p - q)
-    out = []
+    out = items.whole(words)
     for i, found in diagonals.items():
         item, best = items.words[i], 0.0
         pad = len(item) // 2 + 2
@@ -167,8 +183,8 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     seed, and where a document holds seeds of an item it is aligned with the text around them. Frequency only decides
     between neighbours: a passage that every document repeats still has its seeds.
 
-    Nulls: a null text has no leaks; a null item text, or an item of fewer than three words, is never found; a null
-    item id is reported as null. Repeated rows get equal results. No items or no documents: no leaks. An input column
+    Nulls: a null text has no leaks; a null item text, or an item without a letter or digit, is never found; an item
+    of one or two words is found where all of them stand in a row. A null item id is reported as null. Repeated rows get equal results. No items or no documents: no leaks. An input column
     named leaks is replaced; others pass through.
     """
     asked = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("text")).where("text is not null")

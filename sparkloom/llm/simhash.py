@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpoint, with_columns, written
+from .common import checkpoint, remembered, with_columns, written
 from .components import components
 
 #: The 32 two-bit segments fall into six groups of neighbours. Two fingerprints within three bits differ in at most
@@ -46,6 +46,7 @@ def add_fingerprint(docs: DataFrame, text_col: str = "text", words: int = 3, see
 
     @F.pandas_udf("long")
     def simhash(texts: pd.Series) -> pd.Series:
+        remembered(("simhash",), dict)
         return pd.Series(np.array([fingerprint(t, words, seed) for t in texts], np.uint64).view(np.int64))
 
     simhash = simhash.asNondeterministic()

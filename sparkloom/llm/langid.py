@@ -45,15 +45,18 @@ def word_keys(words: list[str]) -> np.ndarray:
 class LanguageModel:
     """Log frequencies of words and of character n-grams, both by hash, one value per language."""
 
-    def __init__(self, counts: list[tuple[str, str, int]]):
+    def __init__(self, counts: pa.Table | list[tuple[str, str, int]]):
+        """counts: language, word and how often it occurs."""
+        if isinstance(counts, list):
+            counts = pa.table([pa.array(c, t) for c, t in zip(zip(*counts, strict=True) if counts else ([], [], []), (pa.string(), pa.string(), pa.int64()), strict=True)], ["lang", "word", "count"])
         self.uid = uuid.uuid4().hex
-        self.languages = sorted({lang for lang, _, _ in counts})
+        langs, names = (counts.column(c).combine_chunks().dictionary_encode() for c in ("lang", "word"))
+        self.languages = sorted(langs.dictionary.to_pylist())
         of = {lang: i for i, lang in enumerate(self.languages)}
-        words = sorted({word for _, word, _ in counts})
-        index = {w: i for i, w in enumerate(words)}
+        place = np.array([of[lang] for lang in langs.dictionary.to_pylist()], np.int64)
+        words = names.dictionary.to_pylist()
         table = np.zeros((len(words), len(of)))
-        for lang, word, n in counts:
-            table[index[word], of[lang]] += n
+        np.add.at(table, (names.indices.to_numpy(zero_copy_only=False), place[langs.indices.to_numpy(zero_copy_only=False)]), counts.column("count").to_numpy())
         keys = word_keys(words)
         order = np.argsort(keys)
         self.word_keys, self.word_logs = keys[order], self._logs(table)[order]
@@ -138,7 +141,7 @@ class Remembered:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 2000) -> LanguageModel:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500) -> LanguageModel:
     """Fit on a sample of labelled rows: by hash about ``per_language`` documents of each language (all, if it has fewer).
 
     The words of the sample are counted in Spark, and the counts, which its rows bound, come to the driver: every word
@@ -149,8 +152,7 @@ def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_co
     chance = F.shiftrightunsigned(F.xxhash64("id"), 11) / float(1 << 53)
     sample = labelled.join(sizes, "lang").where(chance < F.lit(per_language) / F.col("count"))
     words = sample.select("lang", F.explode(F.regexp_extract_all(F.lower("text"), F.lit(r"(\p{L}+)"), 1)).alias("word"))
-    counts = words.groupBy("lang", "word").count().toArrow()
-    return LanguageModel(list(zip(*(counts.column(c).to_pylist() for c in ("lang", "word", "count")), strict=True)))
+    return LanguageModel(words.groupBy("lang", "word").count().toArrow())
 
 
 def identify(docs: DataFrame, model: LanguageModel, text_col: str = "text") -> DataFrame:

@@ -8,14 +8,22 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType
 
 from ..registry import op
 
 INF = float("inf")
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is worked out once, however often body names it, in lambdas too."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def image(h: Column, w: Column, kind: Column | str, pixels: Column) -> Column:
     return F.struct(h.cast("int").alias("h"), w.cast("int").alias("w"), (F.lit(kind) if isinstance(kind, str) else kind).alias("kind"), pixels.alias("pixels"))
 
@@ -23,8 +31,11 @@ def image(h: Column, w: Column, kind: Column | str, pixels: Column) -> Column:
 def with_pixels(img: Column, pixels: Column, kind: str | None = None) -> Column:
     """img with other pixels, cast to its kind: binary from 0.5 on, labels rounded to even."""
     k = img["kind"] if kind is None else F.lit(kind)
-    cast = F.when(k == "binary", F.transform(pixels, lambda x: (x >= 0.5).cast("double"))).when(k == "segment", F.transform(pixels, lambda x: F.bround(x, 0))).otherwise(pixels)
-    return image(img["h"], img["w"], k, cast)
+
+    def cast(p: Column) -> Column:
+        return F.when(k == "intensity", p).otherwise(F.transform(p, lambda x: F.when(k == "binary", (x >= 0.5).cast("double")).otherwise(F.bround(x, 0))))
+
+    return image(img["h"], img["w"], k, let(pixels, cast))
 
 
 def clamp01(x: Column) -> Column:
@@ -45,25 +56,36 @@ def _mean(v: Column) -> Column:
 
 def _std(v: Column) -> Column:
     """With n - 1; NaN for one value."""
-    m = _mean(v)
-    squares = F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m))
-    return F.when(F.size(v) > 1, F.sqrt(squares / (F.size(v) - 1))).when(F.size(v) == 1, F.lit(float("nan")))
+
+    def of(v: Column) -> Column:
+        squares = let(_mean(v), lambda m: F.aggregate(v, F.lit(0.0), lambda a, x: a + (x - m) * (x - m)))
+        return F.when(F.size(v) > 1, F.sqrt(squares / (F.size(v) - 1))).when(F.size(v) == 1, F.lit(float("nan")))
+
+    return let(v, of)
 
 
 def _quantile(v: Column, q: float) -> Column:
     """Linear between neighbours."""
-    s = F.array_sort(v)
-    at = (F.size(v) - 1) * F.lit(q)
-    lo = F.floor(at).cast("int")
-    a, b = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(v) - 1))
-    return a + (b - a) * (at - lo)
+
+    def of(s: Column) -> Column:
+        at = (F.size(s) - 1) * F.lit(q)
+        lo = F.floor(at).cast("int")
+        a, b = F.get(s, lo), F.get(s, F.least(lo + 1, F.size(s) - 1))
+        return a + (b - a) * (at - lo)
+
+    return let(F.array_sort(v), of)
 
 
 def normalize(pixels: Column) -> Column:
     """Min-max to 0..1; NaN and infinities count as 0, a constant image gives 0."""
     clean = F.transform(pixels, lambda x: F.when(F.isnan(x) | (F.abs(x) == INF) | x.isNull(), F.lit(0.0)).otherwise(x))
-    lo, hi = F.array_min(clean), F.array_max(clean)
-    return F.transform(clean, lambda x: clamp01(F.try_divide(x - lo, hi - lo)))
+    scaled = lambda v, lo, hi: F.transform(v, lambda x: clamp01(F.try_divide(x - lo, hi - lo)))
+    return let(clean, lambda v: _range(v, lambda lo, hi: scaled(v, lo, hi)))
+
+
+def _range(v: Column, body: Callable[[Column, Column], Column]) -> Column:
+    """body of the least and the greatest value."""
+    return let(F.struct(F.array_min(v).alias("lo"), F.array_max(v).alias("hi")), lambda r: body(r["lo"], r["hi"]))
 
 
 # ---- two images, pixel by pixel
@@ -107,22 +129,22 @@ def normalize_2d(a):
 
 @op("image", "image", name="experimental_standardize_2D")
 def standardize_2d(a):
-    m, s = _mean(a["pixels"]), _std(a["pixels"])
-    return with_pixels(a, F.transform(a["pixels"], lambda x: clamp01(F.try_divide(x - m, s))))
+    scale = F.struct(_mean(a["pixels"]).alias("m"), _std(a["pixels"]).alias("s"))
+    return with_pixels(a, let(scale, lambda k: F.transform(a["pixels"], lambda x: clamp01(F.try_divide(x - k["m"], k["s"])))))
 
 
 @op("image", "image", name="experimental_tointensity_image2D")
 def to_intensity(a):
     """Labels over the largest one."""
     top = F.when(a["kind"] == "segment", F.array_max(a["pixels"])).otherwise(F.lit(1.0))
-    return with_pixels(a, F.transform(a["pixels"], lambda x: clamp01(F.try_divide(x, top))), "intensity")
+    return with_pixels(a, let(top, lambda t: F.transform(a["pixels"], lambda x: clamp01(F.try_divide(x, t)))), "intensity")
 
 
 @op("image number", "image", name="experimental_tobinary_th_image2D_factory")
 def to_binary_from(a, th):
     """Above th; labels other than the smallest."""
-    low = F.array_min(a["pixels"])
-    return with_pixels(a, F.transform(a["pixels"], lambda x: F.when(a["kind"] == "segment", x != low).otherwise(x > th).cast("double")), "binary")
+    marked = lambda low: F.transform(a["pixels"], lambda x: F.when(a["kind"] == "segment", x != low).otherwise(x > th).cast("double"))
+    return with_pixels(a, let(F.array_min(a["pixels"]), marked), "binary")
 
 
 @op("image", "image", name="experimental_tobinary_image2D")
@@ -186,23 +208,34 @@ def mask_by_colour(a, colour):
 
 def _border(at: Column, n: Column, mode: Column) -> Column:
     """at inside 0..n-1: by repeating the edge (0), around (below 0) or by mirroring (above 0)."""
-    twice = F.pmod(at, 2 * n)
-    return F.when(mode == 0, F.greatest(F.lit(0), F.least(n - 1, at))).when(mode < 0, F.pmod(at, n)).otherwise(F.least(twice, 2 * n - 1 - twice))
+    twice = lambda t: F.least(t, 2 * n - 1 - t)
+    return F.when(mode == 0, F.greatest(F.lit(0), F.least(n - 1, at))).when(mode < 0, F.pmod(at, n)).otherwise(twice(F.pmod(at, 2 * n)))
 
 
 def _weights(kernel: list[tuple[int, int, float]]) -> Column:
-    return F.array(*[F.struct(F.lit(r).alias("r"), F.lit(c).alias("c"), F.lit(float(v)).alias("v")) for r, c, v in kernel])
+    return F.expr("array(" + ", ".join(f"named_struct('r', {r}, 'c', {c}, 'v', {float(v)!r}D)" for r, c, v in kernel) + ")")
 
 
-def correlate(a: Column, kernel: list[tuple[int, int, float]], mode: Column) -> Column:
-    """Sum over (row offset, column offset, weight) of the neighbours at each pixel."""
-    h, w, p = a["h"], a["w"], a["pixels"]
+def _led(n: Column, reach: int, mode: Column) -> Column:
+    """Where the places from -reach to n - 1 + reach lead, in turn."""
+    return F.transform(F.sequence(F.lit(-reach), n - 1 + reach), lambda x: _border(x, n, mode).cast("int"))
 
-    def at(i):
-        r, c = i % h, F.floor(i / h).cast("int")
-        return F.aggregate(_weights(kernel), F.lit(0.0), lambda s, k: s + k["v"] * F.get(p, (_border(r + k["r"], h, mode) + _border(c + k["c"], w, mode) * h).cast("int")))
 
-    return F.transform(p, lambda x, i: at(i))
+def _summed(g: Column, reach: int, h: Column) -> Column:
+    """At each pixel of g.p the sum of its neighbours times the weights g.k; g.r and g.c say where rows and columns beyond the edges lead."""
+
+    def at(i: Column) -> Column:
+        r, c = i % h + reach, F.floor(i / h).cast("int") + reach
+        return F.aggregate(g["k"], F.lit(0.0), lambda s, k: s + k["v"] * F.get(g["p"], F.get(g["r"], r + k["r"]) + F.get(g["c"], c + k["c"]) * h))
+
+    return F.transform(g["p"], lambda x, i: at(i))
+
+
+def correlate(a: Column, kernel: list[tuple[int, int, float]], mode: Column) -> Column:
+    """Sum over (row offset, column offset, weight) of the neighbours at each pixel."""
+    reach = max(max(abs(r), abs(c)) for r, c, _ in kernel)
+    known = F.struct(a["pixels"].alias("p"), _weights(kernel).alias("k"), _led(a["h"], reach, mode).alias("r"), _led(a["w"], reach, mode).alias("c"))
+    return let(known, lambda g: _summed(g, reach, a["h"]))
 
 
 def _grid(rows: list[list[float]]) -> list[tuple[int, int, float]]:
@@ -259,7 +292,7 @@ def _blurred(a: Column, line: list[float], mode: Column) -> Column:
     """A separable kernel: along rows, then along columns."""
     half = len(line) // 2
     first = image(a["h"], a["w"], a["kind"], correlate(a, [(0, k - half, v) for k, v in enumerate(line)], mode))
-    return correlate(first, [(k - half, 0, v) for k, v in enumerate(line)], mode)
+    return let(first, lambda g: correlate(g, [(k - half, 0, v) for k, v in enumerate(line)], mode))
 
 
 def _gaussian(width: int, sigma: float) -> None:
@@ -279,15 +312,23 @@ def laplacian3_image2D(a, b):
 
 def _weighted(a: Column, half: int, weight: Callable[[Column], Column]) -> Column:
     """Like correlate, with weights from the squared distance that depend on the row's parameters; divided by their sum."""
-    offsets = [(r, c, float(r * r + c * c)) for r in range(-half, half + 1) for c in range(-half, half + 1)]
-    h, w, p, zero = a["h"], a["w"], a["pixels"], F.lit(0)
-    total = F.aggregate(_weights(offsets), F.lit(0.0), lambda s, k: s + weight(k["v"]))
+    steps = F.transform(F.sequence(F.lit(0), F.lit((2 * half + 1) ** 2 - 1)), lambda j: F.pow(j % (2 * half + 1) - half, F.lit(2)) + F.pow(F.floor(j / (2 * half + 1)) - half, F.lit(2)))
+    return _window_sums(a["h"], a["w"], a["pixels"], F.transform(steps, weight))
 
-    def at(i):
-        r, c = i % h, F.floor(i / h).cast("int")
-        return F.aggregate(_weights(offsets), F.lit(0.0), lambda s, k: s + weight(k["v"]) * F.get(p, (_border(r + k["r"], h, zero) + _border(c + k["c"], w, zero) * h).cast("int"))) / total
 
-    return F.transform(p, lambda x, i: at(i))
+@F.pandas_udf(ArrayType(DoubleType()))
+def _window_sums(heights: pd.Series, widths: pd.Series, images: pd.Series, weights: pd.Series) -> pd.Series:
+    """Weighted means of the square around each pixel, edges repeated: hundreds of neighbours a pixel, so in numpy."""
+
+    def one(h: int, w: int, pixels: np.ndarray, weight: np.ndarray) -> np.ndarray | None:
+        if pixels is None or weight is None:
+            return None
+        side = math.isqrt(len(weight))
+        grid = np.pad(np.asarray(pixels, float).reshape(w, h), side // 2, mode="edge")  # rows are columns of the image
+        near = np.lib.stride_tricks.sliding_window_view(grid, (side, side))
+        return np.einsum("ijkl,kl->ij", near, np.asarray(weight, float).reshape(side, side)).reshape(-1) / np.sum(weight)
+
+    return pd.Series([one(*row) for row in zip(heights, widths, images, weights, strict=True)], dtype=object)
 
 
 @op("image number number", "image", defaults=(0.5, 0.5))
@@ -313,18 +354,18 @@ def _window(a: Column, i: Column, top: Column, bottom: Column, left: Column, rig
     """Pixels from row r + top to r + bottom and column c + left to c + right around pixel i, inside the image."""
     h, w = a["h"], a["w"]
     r, c = i % h, F.floor(i / h).cast("int")
-    r0, r1 = F.greatest(r + top, F.lit(0)), F.least(r + bottom, h - 1)
-    c0, c1 = F.greatest(c + left, F.lit(0)), F.least(c + right, w - 1)
-    return F.flatten(F.transform(F.sequence(c0.cast("int"), c1.cast("int")), lambda k: F.slice(a["pixels"], (k * h + r0 + 1).cast("int"), (r1 - r0 + 1).cast("int"))))
+    ends = F.struct(F.greatest(r + top, F.lit(0)).cast("int").alias("r0"), F.least(r + bottom, h - 1).cast("int").alias("r1"), F.greatest(c + left, F.lit(0)).cast("int").alias("c0"), F.least(c + right, w - 1).cast("int").alias("c1"))
+    return let(ends, lambda e: F.flatten(F.transform(F.sequence(e["c0"], e["c1"]), lambda k: F.slice(a["pixels"], k * h + e["r0"] + 1, e["r1"] - e["r0"] + 1))))
 
 
 def _extreme(name: str, pick: Callable[[Column], Column]) -> None:
     @op("image number number", "image", name=name, defaults=(3.0, 3.0))
     def build(a, w1, w2):
         r, c = (F.floor(F.greatest(F.lit(2), F.least(F.lit(25), F.bround(x.cast("double"), 0))) / 2).cast("int") for x in (w1, w2))
+
         def mark(x, i):
-            near = _window(a, i, -r, r, -c, c)
-            return ((x == pick(near)) & (F.size(F.filter(near, lambda y: y == x)) == 1)).cast("double")
+            return let(_window(a, i, -r, r, -c, c), lambda near: ((x == pick(near)) & (F.size(F.filter(near, lambda y: y == x)) == 1)).cast("double"))
+
         return with_pixels(a, F.transform(a["pixels"], mark), "binary")
 
 
@@ -346,18 +387,18 @@ def _diamond(a: Column, k: Column, pick: Callable[[Column], Column]) -> Column:
     half = F.floor(_odd(k) / 2).cast("int")
     h, w = a["h"], a["w"]
 
-    def at(i):
+    def at(p: Column, i: Column) -> Column:
         r, c = i % h, F.floor(i / h).cast("int")
         columns = F.sequence(F.greatest(c - half, F.lit(0)), F.least(c + half, w - 1))
 
         def run(x):
             reach = half - F.abs(x - c)
             lo, hi = F.greatest(r - reach, F.lit(0)), F.least(r + reach, h - 1)
-            return pick(F.slice(a["pixels"], (x * h + lo + 1).cast("int"), (hi - lo + 1).cast("int")))
+            return pick(F.slice(p, (x * h + lo + 1).cast("int"), (hi - lo + 1).cast("int")))
 
         return pick(F.transform(columns, run))
 
-    return F.transform(a["pixels"], lambda x, i: at(i))
+    return let(a["pixels"], lambda p: F.transform(p, lambda x, i: at(p, i)))
 
 
 def _again(a: Column, pixels: Column) -> Column:
@@ -383,10 +424,10 @@ def _laplace(a: Column, k: Column) -> Column:
 MORPHOLOGY = {
     "erosion_2D": erode,
     "dilation_2D": dilate,
-    "opening_2D": lambda a, k: dilate(_again(a, erode(a, k)), k),
-    "closing_2D": lambda a, k: erode(_again(a, dilate(a, k)), k),
-    "tophat_2D": lambda a, k: _difference(a["pixels"], dilate(_again(a, erode(a, k)), k)),
-    "bothat_2D": lambda a, k: _difference(erode(_again(a, dilate(a, k)), k), a["pixels"]),
+    "opening_2D": lambda a, k: let(_again(a, erode(a, k)), lambda e: dilate(e, k)),
+    "closing_2D": lambda a, k: let(_again(a, dilate(a, k)), lambda d: erode(d, k)),
+    "tophat_2D": lambda a, k: _difference(a["pixels"], let(_again(a, erode(a, k)), lambda e: dilate(e, k))),
+    "bothat_2D": lambda a, k: _difference(let(_again(a, dilate(a, k)), lambda d: erode(d, k)), a["pixels"]),
     "morpholaplace_2D": _laplace,
 }
 
@@ -411,7 +452,7 @@ def morphogradient_2D(a, k, mode):
 # ---- pools
 
 
-def _pool(name: str, reduce: Callable[[Column], Column], cross: bool) -> None:
+def _pool(name: str, number: Callable[[Column], Column], cross: bool) -> None:
     @op("image number", "image", name=name, defaults=(2.0,))
     def build(a, k):
         k, h, w = F.greatest(F.lit(1), F.bround(k.cast("double"), 0).cast("int")), a["h"], a["w"]
@@ -422,9 +463,9 @@ def _pool(name: str, reduce: Callable[[Column], Column], cross: bool) -> None:
             r1, c1 = F.least(r0 + k, h) - 1, F.least(c0 + k, w) - 1
             block = _window(a, F.lit(0), r0, r1, c0, c1)
             if not cross:
-                return reduce(block)
+                return let(block, number)
             rows, mid_r, mid_c = r1 - r0 + 1, F.floor((r1 - r0 + 1) / 2), F.floor((c1 - c0 + 1) / 2)
-            return reduce(F.filter(block, lambda x, j: (j % rows == mid_r) | (F.floor(j / rows) == mid_c)))
+            return let(F.filter(block, lambda x, j: (j % rows == mid_r) | (F.floor(j / rows) == mid_c)), number)
 
         return with_pixels(a, F.transform(a["pixels"], lambda x, i: at(i)))
 
@@ -448,17 +489,17 @@ POOLERS = {
 }
 
 
-def _pooler(name: str, reduce: Callable[[Column], Column], scaled: bool) -> None:
+def _pooler(name: str, number: Callable[[Column], Column], scaled: bool) -> None:
     @op("image number number", "image", name=name, defaults=(2.0, 1.0))
     def build(a, k, stride):
         h, w = a["h"], a["w"]
         whole = lambda x: F.greatest(F.lit(1), F.bround(x.cast("double"), 0).cast("int"))
         k, s = F.least(whole(k), h, w), whole(stride)
         rows, cols = F.floor((h - k) / s).cast("int") + 1, F.floor((w - k) / s).cast("int") + 1
-        windows = F.transform(F.sequence(F.lit(0), rows * cols - 1), lambda j: reduce(_window(a, F.lit(0), (j % rows) * s, (j % rows) * s + k - 1, F.floor(j / rows) * s, F.floor(j / rows) * s + k - 1)))
-        small = normalize(windows) if scaled else F.transform(windows, clamp01)
+        windows = F.transform(F.sequence(F.lit(0), rows * cols - 1), lambda j: let(_window(a, F.lit(0), (j % rows) * s, (j % rows) * s + k - 1, F.floor(j / rows) * s, F.floor(j / rows) * s + k - 1), number))
+        small = normalize(windows) if scaled else F.transform(windows, clamp01)  # one number a window, worked out once an image
         back = lambda i: F.floor((i % h) * rows / h) + F.floor(F.floor(i / h) * cols / w) * rows
-        return with_pixels(a, F.transform(a["pixels"], lambda x, i: F.get(small, back(i).cast("int"))))
+        return with_pixels(a, let(small, lambda v: F.transform(a["pixels"], lambda x, i: F.get(v, back(i).cast("int")))))
 
 
 for _name, (_f, _scaled) in POOLERS.items():
@@ -474,7 +515,7 @@ def _number(name: str, f: Callable[[Column], Column], returns: str = "float") ->
 
 def _mode(p: Column) -> Column:
     """(count, value) of the most frequent value; of equals the smallest."""
-    return F.array_max(F.transform(F.array_distinct(p), lambda x: F.struct(_count(p, x).alias("n"), (-x).alias("v"))))
+    return let(p, lambda v: F.array_max(F.transform(F.array_distinct(v), lambda x: F.struct(_count(v, x).alias("n"), (-x).alias("v")))))
 
 
 def _argmax(a: Column) -> Column:
@@ -506,9 +547,8 @@ def _centre(size: Column, at: Column) -> Column:
 
 
 def _entropy8(v: Column) -> Column:
-    lo, hi = F.array_min(v), F.array_max(v)
-    bins = F.transform(v, lambda x: F.least(F.lit(7), F.floor(F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)) * 8)))
-    shares = F.transform(F.array_distinct(bins), lambda b: _count(bins, b) / F.size(v))
+    bins = lambda v: _range(v, lambda lo, hi: F.transform(v, lambda x: F.least(F.lit(7), F.floor(F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)) * 8))))
+    shares = let(let(v, bins), lambda b: F.transform(F.array_distinct(b), lambda x: _count(b, x) / F.size(b)))
     return F.aggregate(shares, F.lit(0.0), lambda s, p: s - p * F.log2(p))
 
 
@@ -533,14 +573,14 @@ def _half(a: Column, share: float | None) -> Column:
     return F.floor((side + F.when(side % 2 == 0, 1).otherwise(0)) / 2).cast("int")
 
 
-def _region(name: str, reduce: Callable[[Column], Column] | None, share: float | None) -> None:
+def _region(name: str, number: Callable[[Column], Column] | None, share: float | None) -> None:
     @op("image number number", "float", name=name)
     def build(a, cx, cy):
         half = _half(a, share)
         i = _centre(a["h"], cy) + _centre(a["w"], cx) * a["h"]
         patch = _window(a, i, -half, half, -half, half)
-        if reduce is not None:
-            return reduce(patch)
+        if number is not None:
+            return let(patch, number)
         outer = half + F.greatest(F.lit(1), half)
         wide = _window(a, i, -outer, outer, -outer, outer)
         total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x)
@@ -574,8 +614,8 @@ def _haar(name: str, sign: Callable[[Column, Column, Column], Column]) -> None:
         r, c = at % h, F.floor(at / h).cast("int")
         marked = F.transform(a["pixels"], lambda x, i: F.struct((i % h - r).alias("r"), (F.floor(i / h) - c).alias("c"), x.alias("x")))
         near = F.filter(marked, lambda m: (F.abs(m["r"]) <= half) & (F.abs(m["c"]) <= half))
-        side = lambda s: F.coalesce(_mean(F.transform(F.filter(near, lambda m: sign(m["r"], m["c"], half) == s), lambda m: m["x"])), F.lit(0.0))
-        return side(1.0) - side(-1.0)
+        side = lambda v, s: F.coalesce(_mean(F.transform(F.filter(v, lambda m: sign(m["r"], m["c"], half) == s), lambda m: m["x"])), F.lit(0.0))
+        return let(near, lambda v: side(v, 1.0) - side(v, -1.0))
 
 
 for _name, _f in HAAR.items():
@@ -616,19 +656,21 @@ def orientation_select(a, theta, width):
 
 def _energy(a: Column) -> Column:
     """Share of the magnitude nearest to 0, 45, 90 and 135 degrees."""
-    g = _gradients(a)
-    total = F.aggregate(g, F.lit(0.0), lambda s, x: s + x["m"])
     kind = lambda x: F.pmod(F.bround(x["t"] / (math.pi / 4), 0), F.lit(4))
-    part = lambda b: F.coalesce(F.try_divide(F.aggregate(F.filter(g, lambda x: kind(x) == b), F.lit(0.0), lambda s, x: s + x["m"]), total), F.lit(0.0))
-    return F.array(*[part(b) for b in range(4)])
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda s, x: s + x["m"])
+    part = lambda g, b: F.coalesce(F.try_divide(total(F.filter(g, lambda x: kind(x) == b)), total(g)), F.lit(0.0))
+    return let(_gradients(a), lambda g: F.array(*[part(g, b) for b in range(4)]))
 
 
 @op("image", "float", fallback=-1.0)
 def orientation_coherence(a):
-    g = _gradients(a)
-    total = lambda f: F.aggregate(g, F.lit(0.0), lambda s, x: s + f(x))
-    c, s, m = total(lambda x: x["m"] * F.cos(2 * x["t"])), total(lambda x: x["m"] * F.sin(2 * x["t"])), total(lambda x: x["m"])
-    return F.when(m == 0, 0.0).otherwise(F.try_divide(F.sqrt(c * c + s * s), m))
+
+    def of(g: Column) -> Column:
+        total = lambda f: F.aggregate(g, F.lit(0.0), lambda s, x: s + f(x))
+        c, s, m = total(lambda x: x["m"] * F.cos(2 * x["t"])), total(lambda x: x["m"] * F.sin(2 * x["t"])), total(lambda x: x["m"])
+        return F.when(m == 0, 0.0).otherwise(F.try_divide(F.sqrt(c * c + s * s), m))
+
+    return let(_gradients(a), of)
 
 
 @op("image", "float", fallback=-1.0)
@@ -639,8 +681,7 @@ def orientation_spread(a):
 
 @op("image", "float", fallback=-1.0)
 def dominant_orientation(a):
-    e = _energy(a)
-    return F.when(F.array_max(e) == 0, 0.0).otherwise((F.array_position(e, F.array_max(e)) - 1) / 4)
+    return let(_energy(a), lambda e: F.when(F.array_max(e) == 0, 0.0).otherwise((F.array_position(e, F.array_max(e)) - 1) / 4))
 
 
 for _b, _degrees in enumerate((0, 45, 90, 135)):
@@ -656,12 +697,11 @@ DIRECTIONS = ((0, -1), (-1, -1), (-1, 0), (-1, 1))
 def _pairs(a: Column, step: tuple[int, int], distance: Column, levels: Column) -> Column:
     """(i, j) levels of neighbours at the distance, in both orders."""
     h, w, p = a["h"], a["w"], a["pixels"]
-    lo, hi = F.array_min(p), F.array_max(p)
-    grey = F.transform(p, lambda x: F.least(levels - 1, F.floor(F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)) * levels)).cast("double"))
+    grey = _range(p, lambda lo, hi: F.transform(p, lambda x: F.least(levels - 1, F.floor(F.coalesce(F.try_divide(x - lo, hi - lo), F.lit(0.0)) * levels)).cast("double")))
     dr, dc = distance * step[0], distance * step[1]
     inside = lambda i: (i % h + dr).between(0, h - 1) & (F.floor(i / h) + dc).between(0, w - 1)
-    both = F.filter(F.transform(grey, lambda x, i: F.when(inside(i), F.struct(x.alias("i"), F.get(grey, (i + dr + dc * h).cast("int")).alias("j")))), lambda x: x.isNotNull())
-    return F.concat(both, F.transform(both, lambda x: F.struct(x["j"].alias("i"), x["i"].alias("j"))))
+    both = lambda v: F.filter(F.transform(v, lambda x, i: F.when(inside(i), F.struct(x.alias("i"), F.get(v, (i + dr + dc * h).cast("int")).alias("j")))), lambda x: x.isNotNull())
+    return let(let(grey, both), lambda v: F.concat(v, F.transform(v, lambda x: F.struct(x["j"].alias("i"), x["i"].alias("j")))))
 
 
 def _over(v: Column, f: Callable[[Column], Column]) -> Column:
@@ -669,17 +709,18 @@ def _over(v: Column, f: Callable[[Column], Column]) -> Column:
 
 
 def _shares(v: Column) -> Column:
-    return F.transform(F.array_distinct(v), lambda x: _count(v, x) / F.size(v))
+    """How often each pair of levels occurs, as a share of all; a pair is one number."""
+    codes = F.transform(v, lambda x: x["i"] * 256 + x["j"])
+    return let(codes, lambda c: F.transform(F.array_distinct(c), lambda x: _count(c, x) / F.size(c)))
 
 
 def _variance(v: Column) -> Column:
-    m = _over(v, lambda x: x["i"])
-    return _over(v, lambda x: (x["i"] - m) * (x["i"] - m))
+    return let(_over(v, lambda x: x["i"]), lambda m: _over(v, lambda x: (x["i"] - m) * (x["i"] - m)))
 
 
 def _correlation(v: Column) -> Column:
-    m = _over(v, lambda x: x["i"])
-    return F.try_divide(_over(v, lambda x: (x["i"] - m) * (x["j"] - m)), _variance(v))
+    together = let(_over(v, lambda x: x["i"]), lambda m: _over(v, lambda x: (x["i"] - m) * (x["j"] - m)))
+    return F.try_divide(together, _variance(v))
 
 
 _total = lambda v, f: F.aggregate(v, F.lit(0.0), lambda s, x: s + f(x))
@@ -704,7 +745,7 @@ def _glcm(name: str, prop: Callable[[Column], Column], summary: Callable[[Column
         d = F.greatest(F.lit(1), F.least(F.lit(10), F.bround(distance.cast("double"), 0).cast("int")))
         colours = F.size(F.array_distinct(a["pixels"]))
         n = F.greatest(F.least(F.lit(5), colours), F.least(F.lit(255), F.bround(levels.cast("double"), 0).cast("int")))
-        return summary(F.array(*[prop(_pairs(a, s, d, n)) for s in DIRECTIONS]))
+        return let(n, lambda k: let(F.array(*[let(_pairs(a, s, d, k), prop) for s in DIRECTIONS]), summary))
 
 
 for _name, _f in GLCM.items():

@@ -213,15 +213,22 @@ def compare_tuple_a_less_b(t):
     return F.transform(t, lambda p: mask(p["_1"] < p["_2"]))
 
 
+def _from_right(v: Column, test: Callable[[Column, Column], Column]) -> Column:
+    """The test of each value and the largest one after it, in one fold from the right; the last value passes."""
+    start = F.struct(F.lit(None).cast("double").alias("top"), F.array().cast("array<bigint>").alias("out"))
+    step = lambda acc, x: F.struct(F.greatest(acc["top"], x.cast("double")).alias("top"), F.array_append(acc["out"], mask(acc["top"].isNull() | test(x, acc["top"]))).alias("out"))
+    return F.reverse(F.aggregate(F.reverse(v), start, step, lambda acc: acc["out"]))
+
+
 @op("list<number>", "list<int>")
 def is_more_than_right(v):
     """1 where a value is above all that follow."""
-    return F.transform(v, lambda x, i: mask(F.forall(F.slice(v, i + 2, F.size(v)), lambda y: x > y)))
+    return _from_right(v, lambda x, top: x > top)
 
 
 @op("list<number>", "list<int>")
 def is_more_eq_than_right(v):
-    return F.transform(v, lambda x, i: mask(F.forall(F.slice(v, i + 2, F.size(v)), lambda y: x >= y)))
+    return _from_right(v, lambda x, top: x >= top)
 
 
 @op("list<number>", "list<int>")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -18,17 +18,24 @@ def behaviours(nodes: DataFrame, edges: DataFrame) -> DataFrame:
 
 
 def sample_weighted(rows: DataFrame, n: int, weight: str, key: str, seed: int = 0) -> DataFrame:
-    """n different rows, likelier by weight: the largest of u ** (1 / weight), u from a seeded hash."""
-    u = (F.shiftrightunsigned(F.xxhash64(key, F.lit(seed)), 11) + 0.5) / float(1 << 53)
-    return rows.where(F.col(weight) > 0).orderBy(F.desc(F.log(u) / F.col(weight)), key).limit(n)
+    """rows with ``draw``: n draws with replacement, each likelier by weight.
+
+    In every draw each row waits a time by a seeded hash, exponential at the rate of its weight, and the first one is
+    drawn. Every task keeps one row a draw before the shuffle. Rows without a positive weight are never drawn.
+    """
+    u = (F.shiftrightunsigned(F.xxhash64(key, "draw", F.lit(seed)), 11) + 0.5) / float(1 << 53)
+    waits = rows.where(F.col(weight) > 0).withColumn("draw", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("__wait", -F.log(u) / F.col(weight))
+    first = waits.groupBy("draw").agg(F.min_by(F.struct(*[f"`{c}`" for c in rows.columns]), F.struct("__wait", key)).alias("__row"))
+    return first.select(*[F.col("__row").getField(c).alias(c) for c in rows.columns], "draw")
 
 
 def fittest_of(nodes: DataFrame, edges: DataFrame, wanted: DataFrame) -> DataFrame:
-    """The fittest node of each wanted behaviour; of equals the smaller id_hash."""
+    """The fittest node of each wanted behaviour; of equals the smaller id_hash. Every task keeps one node a behaviour before the shuffle."""
     ids = nodes.join(wanted.select("behavior"), "behavior", "left_semi")
-    reached = edges.select("_to", "fitness").join(ids, F.col("_to") == F.col("id_hash"))
-    first = F.row_number().over(Window.partitionBy("behavior").orderBy("fitness", "id_hash"))
-    return reached.withColumn("rn", first).where("rn = 1").drop("rn", "_to")
+    reached = edges.select("_to", "fitness").join(ids, F.col("_to") == F.col("id_hash")).drop("_to")
+    columns = [c for c in reached.columns if c != "behavior"]
+    best = reached.groupBy("behavior").agg(F.min_by(F.struct(*columns), F.struct("fitness", "id_hash")).alias("__row"))
+    return best.select("behavior", *[F.col("__row").getField(c).alias(c) for c in columns]).select(*[c for c in ids.columns], "fitness")
 
 
 def best_fitness(edges: DataFrame) -> DataFrame:

@@ -41,12 +41,13 @@ def fit(samples: DataFrame, truth: str, arch: Architecture, generations: int = 1
             call(generation, elite, history)
         if elite[0][0] <= close or budget is not None and history.evaluations >= budget:
             break
-        pick = lambda: min(rng.sample(elite, min(tournament, len(elite))), key=lambda x: x[0])[1]
+        pick = lambda among: min(rng.sample(among, min(tournament, len(among))), key=lambda x: x[0])
         fresh = []
         for _ in range(children):
-            child = pick()
-            if crossing and len(elite) > 1:
-                child = crossover(child, pick(), rng)[0]
+            chosen = pick(elite)
+            child = chosen[1]
+            if crossing and len(elite) > 1:  # with a different member
+                child = crossover(child, pick([x for x in elite if x is not chosen])[1], rng)[0]
             fresh.append((worst, mutate(arch, child, rng)))
     scored.unpersist()
     return elite[0][1], history

@@ -7,7 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import functions  # noqa: F401  registers the operators
+from . import (
+    functions,  # noqa: F401  registers the operators
+    image_queries,
+    list_queries,
+)
 from .functions.images import image
 from .operators import losses, network, population
 from .plans.program import Constant, Input, call, project
@@ -70,7 +74,7 @@ def strings(spark, sf_dir):
 
 def list_masks(spark, sf_dir):
     v = F.col("v")
-    out = {"above": op("greater_than_broadcast", v, F.lit(20.0)), "even": op("even_indices_mask", v), "leaders": op("is_more_eq_than_right", F.reverse(v)), "same": op("is_eq_to_prev", v), "equal": op("eq_broadcast", v, F.lit(10.0))}
+    out = {"above": op("greater_than_broadcast", v, F.lit(20.0)), "even": op("even_indices_mask", v), "leaders": op("is_more_eq_than_right", v), "same": op("is_eq_to_prev", v), "equal": op("eq_broadcast", v, F.lit(10.0))}
     return _orders(spark, sf_dir).select("l_orderkey", *[_text(c).alias(k) for k, c in out.items()])
 
 
@@ -157,9 +161,41 @@ def elite_orders(spark, sf_dir):
 
 
 def pareto_parts(spark, sf_dir):
-    """Fronts of size and price, each made coarse."""
-    pop = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ind_id"), F.col("p_size").cast("double").alias("a"), F.floor(F.col("p_retailprice") / 50).cast("double").alias("b"))
-    return population.pareto_ranks(pop, ["a", "b"], fronts=2).where("rank = 1").select("ind_id", "a", "b")
+    """The first three fronts of size and price."""
+    pop = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ind_id"), F.col("p_size").cast("double").alias("a"), F.col("p_retailprice").alias("b"))
+    return population.pareto_ranks(pop, ["a", "b"], fronts=3).select("ind_id", "a", "b", F.col("rank").cast("bigint").alias("rank"))
+
+
+def pareto_orders(spark, sf_dir):
+    """The first front of three objectives of the orders."""
+    o = _table(spark, sf_dir, "orders")
+    pop = o.select(F.col("o_orderkey").alias("ind_id"), F.col("o_totalprice").alias("a"), (F.col("o_custkey") % 1000).cast("double").alias("b"), F.datediff(F.lit("1999-01-01"), "o_orderdate").cast("double").alias("c"))
+    return population.pareto_ranks(pop, ["a", "b", "c"], fronts=1).select("ind_id", "a", "b", "c")
+
+
+def crowded_parts(spark, sf_dir):
+    """The room around each part among those of its size, by price and name length."""
+    ranked = _table(spark, sf_dir, "part").select(F.col("p_partkey").alias("ind_id"), F.col("p_size").alias("rank"), F.col("p_retailprice").alias("a"), F.length("p_name").cast("double").alias("b"))
+    room = F.col("crowding")
+    return population.crowding(ranked, ["a", "b"]).select("ind_id", F.when(room == float("inf"), -1.0).otherwise(F.round(room, 6)).alias("room"))
+
+
+def archive_state(spark, sf_dir):
+    o = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("ind_id"), (F.col("o_custkey") % 100).alias("cell"), F.col("o_totalprice").alias("fitness"))
+    return population.coverage(o, 128).select(F.round("coverage", 6).alias("coverage"), "best", "best_id")
+
+
+def fitness_spread(spark, sf_dir):
+    found = population.fitness_statistics(_table(spark, sf_dir, "orders"), "o_totalprice", 8)
+    shown = F.array_join(F.transform("histogram", lambda x: x.cast("string")), ",").alias("histogram")
+    return found.select("n", "least", F.round("mean", 4).alias("mean"), F.round("deviation", 4).alias("deviation"), "largest", shown)
+
+
+def nearest_cells(spark, sf_dir):
+    """The nearest of twenty embeddings to each embedding."""
+    e = _table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("ind_id"), F.transform("embedding", lambda x: x.cast("double")).alias("descriptor"))
+    centres = e.where("ind_id < 20").select(F.col("ind_id").alias("cell"), F.col("descriptor").alias("centre"))
+    return population.nearest_cell(e, centres)
 
 
 def archive_best(spark, sf_dir):
@@ -167,7 +203,7 @@ def archive_best(spark, sf_dir):
     return population.archive_insert(o.where("ind_id % 2 = 0"), o.where("ind_id % 2 = 1"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (fuel_cost, program_outputs, scalar_numbers, scalar_conditions, strings, list_masks, list_arithmetic, list_sets, list_pairs, image_pixels, image_windows, image_binary, network_top, network_fittest, network_behaviours, loss_levenshtein, elite_orders, pareto_parts, archive_best)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (fuel_cost, program_outputs, scalar_numbers, scalar_conditions, strings, list_masks, list_arithmetic, list_sets, list_pairs, image_pixels, image_windows, image_binary, network_top, network_fittest, network_behaviours, loss_levenshtein, elite_orders, pareto_parts, pareto_orders, crowded_parts, archive_state, fitness_spread, nearest_cells, archive_best)} | image_queries.QUERIES | list_queries.QUERIES
 
 
 def _shown(**lists: str) -> str:
@@ -188,7 +224,7 @@ ORACLE_SQL: dict[str, str] = {
         case when strpos(p_name, 'a') = 0 then p_name else left(p_name, strpos(p_name, 'a') - 1) || '<>' || substr(p_name, strpos(p_name, 'a') + 1) end as once,
         replace(p_name, 'e', '') as removed, p_name || '-' || p_brand as pasted, case when length(p_name) >= length(p_brand) then p_name else p_brand end as longest,
         array_to_string(list_transform(string_split(p_name, ' '), lambda x: reverse(x)), ' ') as backwards from part""",
-    "list_masks": f"{_LISTS} select l_orderkey, " + _shown(above="list_transform(v, lambda x: (x > 20)::int)", even="list_transform(v, lambda x, i: (i % 2 = 0)::int)", leaders="list_transform(v, lambda x: 1)", same="list_transform(v, lambda x, i: coalesce(i > 1 and x = v[i - 1], false)::int)", equal="list_transform(v, lambda x: (x = 10)::int)") + " from o",
+    "list_masks": f"{_LISTS} select l_orderkey, " + _shown(above="list_transform(v, lambda x: (x > 20)::int)", even="list_transform(v, lambda x, i: (i % 2 = 0)::int)", leaders="list_transform(v, lambda x, i: coalesce(x >= list_max(v[i + 1:]), true)::int)", same="list_transform(v, lambda x, i: coalesce(i > 1 and x = v[i - 1], false)::int)", equal="list_transform(v, lambda x: (x = 10)::int)") + " from o",
     "list_arithmetic": f"{_LISTS} select l_orderkey, " + _shown(summed="list_transform(v, lambda x, i: x + p[i])", product="list_transform(v, lambda x, i: x * p[i])", running="list_transform(v, lambda x, i: list_sum(v[:i]))", shifted="list_transform(v, lambda x: x - 3)", tail="v[2:]", head="v[:2]") + ", list_position(v, list_max(v))::bigint as argmax, list_min(v) as least, coalesce(list_position(v, 10), 0)::bigint as found from o",
     "list_sets": """with l as (select l_orderkey, l_quantity % 7 as a, (l_partkey % 7)::double as b from lineitem),
         a as (select l_orderkey, a as x, count(*) as n from l group by all), b as (select l_orderkey, b as x, count(*) as n from l group by all),
@@ -209,6 +245,21 @@ ORACLE_SQL: dict[str, str] = {
     "network_behaviours": f"{_NETWORK} select behavior, max(iteration) as newness from edges join nodes on id_hash = _to group by behavior",
     "loss_levenshtein": "select p_partkey % 10 as bucket, round(avg(levenshtein(p_name, p_type)), 6) as loss from part group by 1",
     "elite_orders": "select o_orderkey as ind_id, o_totalprice as fitness from orders order by o_totalprice, o_orderkey desc limit 25",
-    "pareto_parts": "with p as (select p_partkey as ind_id, p_size::double as a, floor(p_retailprice / 50)::double as b from part) select * from p where not exists (select 1 from p q where q.a <= p.a and q.b <= p.b and (q.a < p.a or q.b < p.b))",
+    "pareto_parts": """with p as (select p_partkey as ind_id, p_size::double as a, p_retailprice as b from part),
+        f1 as (select * from p where not exists (select 1 from p q where q.a <= p.a and q.b <= p.b and (q.a < p.a or q.b < p.b))), r1 as (select * from p where ind_id not in (select ind_id from f1)),
+        f2 as (select * from r1 p where not exists (select 1 from r1 q where q.a <= p.a and q.b <= p.b and (q.a < p.a or q.b < p.b))), r2 as (select * from r1 where ind_id not in (select ind_id from f2)),
+        f3 as (select * from r2 p where not exists (select 1 from r2 q where q.a <= p.a and q.b <= p.b and (q.a < p.a or q.b < p.b)))
+        select *, 1::bigint as rank from f1 union all select *, 2 from f2 union all select *, 3 from f3""",
+    "pareto_orders": """with p as (select o_orderkey as ind_id, o_totalprice as a, (o_custkey % 1000)::double as b, date_diff('day', o_orderdate::date, date '1999-01-01')::double as c from orders)
+        select * from p where not exists (select 1 from p q where q.a <= p.a and q.b <= p.b and q.c <= p.c and (q.a < p.a or q.b < p.b or q.c < p.c))""",
+    "crowded_parts": """with p as (select p_partkey as ind_id, p_size as f, p_retailprice as a, length(p_name)::double as b from part),
+        g as (select *, lead(a) over (partition by f order by a, ind_id) - lag(a) over (partition by f order by a, ind_id) as ga, lead(b) over (partition by f order by b, ind_id) - lag(b) over (partition by f order by b, ind_id) as gb,
+            max(a) over (partition by f) - min(a) over (partition by f) as wa, max(b) over (partition by f) - min(b) over (partition by f) as wb from p)
+        select ind_id, coalesce(round(case when wa = 0 then ga * 0 else ga / wa end + case when wb = 0 then gb * 0 else gb / wb end, 6), -1.0)::double as room from g""",
+    "archive_state": "select round(count(distinct o_custkey % 100) / 128, 6) as coverage, min(o_totalprice) as best, arg_min(o_orderkey, (o_totalprice, o_orderkey)) as best_id from orders",
+    "fitness_spread": """with e as (select min(o_totalprice) as lo, max(o_totalprice) as hi from orders), b as (select o_totalprice as f, least(7, floor((o_totalprice - lo) / (hi - lo) * 8)) as b from orders, e)
+        select count(*) as n, min(f) as least, round(avg(f), 4) as mean, round(stddev_samp(f), 4) as deviation, max(f) as largest, concat_ws(',', """ + ", ".join(f"count_if(b = {i})::bigint::varchar" for i in range(8)) + """) as histogram from b""",
+    "nearest_cells": """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), d as (select p.vec_id, c.vec_id as cell, list_sum(list_transform(p.v, lambda x, i: (x - c.v[i]) * (x - c.v[i]))) as d from e p, e c where c.vec_id < 20)
+        select vec_id as ind_id, arg_min(cell, (d, cell)) as cell from d group by vec_id""",
     "archive_best": "select ind_id, cell, fitness from (select o_orderkey as ind_id, o_orderpriority as cell, o_totalprice as fitness, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey % 2 desc, o_orderkey desc) as k from orders) where k = 1",
-}
+} | image_queries.ORACLE_SQL | list_queries.ORACLE_SQL

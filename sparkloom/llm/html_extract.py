@@ -4,25 +4,33 @@ from __future__ import annotations
 
 import html as entities
 import re
-from collections.abc import Iterator
+from collections import Counter
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from xxhash import xxh64_hexdigest
 
 from .common import with_columns, written
 from .url_filter import host_of
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: Markup, without backing up: an unclosed quotation mark is a character like others.
+TOKEN = re.compile(r"<!--(?:.*?-->|.*)|<!\[CDATA\[(?:.*?\]\]>|.*)|<[!?][^>]*+>?|<(/?)([A-Za-z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*+)>", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|style)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>\"']+)))?", re.I)
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript xmp iframe noembed noframes".split())
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
+#: An open comment or declaration at the end of a page; the end of each element whose content isn't markup.
+OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?][^>]*+", re.S)
+RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 CONTAINER = frozenset("article main section div td".split())
-DROPPED = frozenset("head nav aside footer form script style noscript template iframe svg math canvas object button select input textarea label dialog menu audio video map".split())
-#: Parts of a class or id that mark what is not the article.
+DROPPED = frozenset("head nav aside footer form script style noscript template iframe svg canvas object button select input textarea dialog menu audio video map".split())
+#: A class or id whose parts are all of these, or of these and of COMMON, marks what is not the article.
 NOISE = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar breadcrumb breadcrumbs ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer skip hidden".split())
+COMMON = frozenset("area bar block box column container frame group inner item items link links list outer panel row section site slot small large top bottom left right unit wrap wrapper zone".split())
+#: Elements that names don't take out: headings, and what stands inside a line.
+NAMED = frozenset("h1 h2 h3 h4 h5 h6 hgroup a abbr b bdi bdo cite code data del dfn em i ins kbd mark math q rp rt ruby s samp small strong sub sup time u var".split())
 #: Parts that mark the article itself.
 MAIN = frozenset("article content main post entry story body text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -31,39 +39,51 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 SHARE = 0.1
 
 
-def _names(attributes: str) -> tuple[list[str], bool]:
-    """Generalised class and id parts (digits and ids of chance removed), and whether they mark noise."""
-    parts, noise = [], False
+def _is_noise(word: str) -> bool:
+    pieces = [p for p in re.split(r"[^a-z]+", word) if p]
+    return any(p in NOISE for p in pieces) and all(p in NOISE or p in COMMON for p in pieces)
+
+
+def _names(attributes: str) -> tuple[list[str], bool, bool]:
+    """Generalised class and id parts (digits and ids of chance removed), whether they mark noise, and whether the element is hidden or has a role beside the article."""
+    parts, noise, hidden = [], False, False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             for word in value.split():
                 parts.append(re.sub(r"[0-9]+", "#", word))
-                pieces = re.split(r"[^a-z]+", word)
-                noise |= any(p in NOISE for p in pieces) and not any(p in MAIN - {"body", "text"} and p == pieces[-1] for p in pieces)
+                noise = noise or _is_noise(word)
         elif key == "role":
-            noise |= value.strip() in ROLES
+            hidden |= value.strip() in ROLES
         elif key == "hidden" or "display:none" in value.replace(" ", ""):
-            noise |= key == "hidden" or key == "style"
-    return parts, noise
+            hidden |= key in ("hidden", "style")
+    return parts, noise, hidden
 
 
 class Page:
-    """Blocks of text, each with the containers around it; containers have a generalised tag-class path.
+    """Blocks of text, each with the container around it; containers have a generalised tag-class path.
 
-    Container 0 is the page's body, there from the start to the end; html and body tags only name it.
+    Container 0 is the page's body, there from the start to the end; html and body tags only name it. Containers are
+    numbered in page order, each after the one around it, and a path is its last part with a hash of all parts, so
+    that time and memory grow with the page, however deep or broken its markup is.
     """
 
     def __init__(self, html: str):
-        self.paths: list[str] = ["body"]
+        self.paths: list[str] = [self._path("", "body", [])]
         self.parents: list[int] = [-1]
         self.tags: list[str] = ["body"]
         self.names: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
         self._read(html)
 
+    @staticmethod
+    def _path(around: str, tag: str, names: list[str]) -> str:
+        part = ".".join([tag, *sorted(set(names))])
+        return f"{part}:{xxh64_hexdigest(around + '>' + part)}" if around else part
+
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, container, dropped, in a link
+        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, container, dropped, in a link, in an article
+        opened: Counter[str] = Counter()
         text: list[str] = []
         linked = 0
 
@@ -80,11 +100,12 @@ class Page:
             while len(stack) > depth:
                 if stack[-1][0] in BLOCK:
                     close_block()
-                stack.pop()
+                opened[stack.pop()[0]] -= 1
 
-        at, end = 0, len(html)
+        at, end, last = 0, len(html), html.rfind(">") + 1
         while at < end:
-            m = TOKEN.search(html, at)
+            # Beyond the last > there is no tag, but there may be an open comment.
+            m = TOKEN.search(html, at) if at < last else OPEN.search(html, at)
             stop = m.start() if m else end
             if stop > at and not stack[-1][2]:
                 piece = html[at:stop]
@@ -93,83 +114,92 @@ class Page:
             if not m:
                 break
             at = m.end()
-            if m[2] is None:
+            if m.re is OPEN or m[2] is None:
                 continue
             tag = m[2].lower()
             if m[1]:
                 if tag in ("br", "hr"):
                     text.append(" ")
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i][0] == tag), 0)
-                if depth:
+                if opened[tag]:
+                    depth = len(stack) - 1
+                    while stack[depth][0] != tag:
+                        depth -= 1
                     pop_to(depth)
                 continue
             if tag in ("html", "body"):
                 close_block()
                 if tag == "body" and len(self.paths) == 1 and not self.names[0]:
                     self.names[0] = _names(m[3])[0]
-                    self.paths[0] = ".".join(["body", *sorted(set(self.names[0]))])
+                    self.paths[0] = self._path("", "body", self.names[0])
                 continue
-            _, around, dropped, link = stack[-1]
             if tag in BLOCK:
-                for i in range(len(stack) - 1, 0, -1):  # an open p ends where a block starts; li, dt, dd, tr, td, option end at their like
-                    if stack[i][0] == "p" or stack[i][0] == tag and tag in ("li", "dt", "dd", "option", "tr", "td", "th"):
-                        pop_to(i)
-                        break
-                    if stack[i][0] in CONTAINER or stack[i][0] in ("ul", "ol", "dl", "table", "select"):
-                        break
-                _, around, dropped, link = stack[-1]
+                like = tag in ("li", "dt", "dd", "option", "tr", "td", "th")
+                if opened["p"] or like and opened[tag]:
+                    for i in range(len(stack) - 1, 0, -1):  # an open p ends where a block starts; li, dt, dd, tr, td, option end at their like
+                        if stack[i][0] == "p" or like and stack[i][0] == tag:
+                            pop_to(i)
+                            break
+                        if stack[i][0] in CONTAINER or stack[i][0] in ("ul", "ol", "dl", "table", "select"):
+                            break
                 close_block()
+            _, around, dropped, link, inside = stack[-1]
             if tag in VOID:
                 text.append(" ")
                 continue
             if tag in RAW:
-                close = re.compile(rf"</{tag}\b[^>]*>", re.I).search(html, at)
+                close = RAW_END[tag].search(html, at)
                 at = close.end() if close else end
                 continue
             if not dropped:
-                names, noise = _names(m[3])
-                inside = any(self.tags[c] in ("article", "main") for c in self._chain(around))
-                dropped = tag in DROPPED or noise and tag not in ("article", "main") or tag == "header" and not inside
+                names, noise, hidden = _names(m[3])
+                own = tag in ("article", "main") or tag == "header" and inside  # the article, and its heading part
+                dropped = tag in DROPPED or hidden or noise and not own and tag not in NAMED or tag == "header" and not inside
                 if tag in CONTAINER and not dropped:
-                    self.paths.append(f"{self.paths[around]}>" + ".".join([tag, *sorted(set(names))]))
+                    self.paths.append(self._path(self.paths[around], tag, names))
                     self.parents.append(around)
                     self.tags.append(tag)
                     self.names.append(names)
                     around = len(self.paths) - 1
             if m[3].rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            stack.append((tag, around, dropped, link or tag == "a"))
+            stack.append((tag, around, dropped, link or tag == "a", inside or tag in ("article", "main")))
+            opened[tag] += 1
         pop_to(1)
         close_block()
 
-    def _chain(self, container: int) -> Iterator[int]:
-        while container >= 0:
-            yield container
-            container = self.parents[container]
-
     def scores(self) -> dict[int, float]:
         """Characters outside links; half of a container's score counts for the one around it. Names and tags of articles weigh more."""
-        out: dict[int, float] = {}
+        total, held = [0.0] * len(self.paths), [False] * len(self.paths)
         for container, text, linked in self.blocks:
-            gain = max(0.0, len(text) - 3.0 * linked)
-            for c in self._chain(container):
-                out[c] = out.get(c, 0.0) + gain
-                gain *= 0.5
-        for c in out:
+            total[container] += max(0.0, len(text) - 3.0 * linked)
+            held[container] = True
+        out: dict[int, float] = {}
+        for c in range(len(self.paths) - 1, -1, -1):  # what stands inside comes later
+            if not held[c]:
+                continue
+            if c:
+                total[self.parents[c]] += 0.5 * total[c]
+                held[self.parents[c]] = True
             pieces = {p for n in self.names[c] for p in re.split(r"[^a-z]+", n)}
-            out[c] *= 4.0 if self.tags[c] in ("article", "main") else 2.0 if pieces & MAIN else 0.5 if self.tags[c] == "body" else 1.0
+            out[c] = total[c] * (4.0 if self.tags[c] in ("article", "main") else 2.0 if pieces & MAIN else 0.5 if self.tags[c] == "body" else 1.0)
         return out
 
     def best(self) -> int:
         scores = self.scores()
         return max(scores, key=lambda c: (scores[c], -c), default=-1)
 
+    def _under(self, chosen: set[int]) -> list[bool]:
+        under: list[bool] = []
+        for c, around in enumerate(self.parents):
+            under.append(c in chosen or around >= 0 and under[around])
+        return under
+
     def text(self, paths: set[str]) -> str:
         """Blocks under the containers with one of these paths; without such a container, under the page's own best one."""
-        chosen = {i for i, p in enumerate(self.paths) if p in paths}
-        if not any(chosen.intersection(self._chain(c)) for c, _, _ in self.blocks):
-            chosen = {self.best()}
-        return "\n".join(t for c, t, _ in self.blocks if chosen.intersection(self._chain(c)))
+        under = self._under({i for i, p in enumerate(self.paths) if p in paths})
+        if not any(under[c] for c, _, _ in self.blocks):
+            under = self._under({self.best()})
+        return "\n".join(t for c, t, _ in self.blocks if under[c])
 
 
 def _voted(html: str | None) -> str | None:

@@ -21,7 +21,7 @@ WIDE_SPACE = "[\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u300
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir.
 
-    Only where the session names none (tests on one machine) a temporary folder is set.
+    Only a session on one machine may name none, as in tests; a temporary folder is set for it.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
@@ -29,6 +29,8 @@ def shared_dir(spark: SparkSession) -> str:
         base = sc._jsc.sc().getCheckpointDir()
         if base.isDefined():
             return base.get()
+        if not sc.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = tempfile.mkdtemp(prefix="sparkloom-")
         sc.setCheckpointDir(base)
     return base

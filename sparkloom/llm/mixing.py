@@ -51,7 +51,7 @@ def source_targets(sizes: DataFrame, weights: Sequence[float] = (5, 2, 1), share
     return full.select("key", "source_size", target.alias("target"))
 
 
-def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42) -> DataFrame:
+def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", weights: Sequence[float] = (5, 2, 1), share: float = 1.5, most: float = 2.0, seed: int = 42, size_col: str | None = None) -> DataFrame:
     """docs with ``size``, ``source_size``, ``target`` and ``copies``, the times that the mix takes each document.
 
     A document's expected copies are its source's target over its size. Within a source the documents stand by size
@@ -60,12 +60,14 @@ def mix_counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     words taken stay near the target. Rank within a source = rows in earlier groups + rank in its own small group,
     so that no task holds a source.
 
+    docs is read twice. Where it has its sizes already, size_col names them, and the texts aren't read.
+
     Nulls: a null text has size 0; null sources are one source, last in order; a null id counts as an empty text.
     A source without words has target 0 and is not taken. Repeated rows are documents of their own. Reruns agree.
     Empty table: empty result. Input columns named like an output column are replaced; others pass through.
     """
     noise = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
-    rows = docs.withColumns({"__key": _source_key(source_col), "__size": n_words(text_col), "__noise": noise})
+    rows = docs.withColumns({"__key": _source_key(source_col), "__size": F.coalesce(F.col(size_col).cast("long"), F.lit(0).cast("long")) if size_col else n_words(text_col), "__noise": noise})
     rows = rows.withColumns({"__class": _size_class(F.col("__size")), "__sub": F.substring("__noise", 1, SUB_DIGITS)})
     group = ["__key", "__class", "__sub"]
     counts = rows.groupBy(*group).agg(F.count("*").alias("__rows"), F.sum("__size").alias("__words"))

@@ -36,7 +36,8 @@ def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    mixed = mixing.mix_counts(_table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    sizes = written(_table(spark, sf_dir, "documents").select("doc_id", "source", mixing.n_words().alias("size")), "sizes")
+    mixed = mixing.mix_counts(sizes, size_col="size")
     return mixed.select("doc_id", "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
 
 

@@ -25,8 +25,10 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     norm = ascii_lower(text_or_empty(text_col))
     rows = docs.select(F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("p"))
-    lengths = rows.groupBy("n").count().where("count > 1").select("n")
-    keys = checkpoint(rows.join(lengths, "n", "left_semi").groupBy("n", "p").count().where("count > 1").select(F.col("n").alias("__n"), F.col("p").alias("__p"), F.lit(True).alias("__left")))
+    # One pass counts the rows of each length and prefix hash; lengths are judged by sums of these counts, not by rows.
+    counts = checkpoint(rows.groupBy("n", "p").count())
+    lengths = counts.groupBy("n").agg(F.sum("count").alias("rows")).where("rows > 1").select("n")
+    keys = checkpoint(counts.where("count > 1").join(lengths, "n", "left_semi").select(F.col("n").alias("__n"), F.col("p").alias("__p"), F.lit(True).alias("__left")))
 
     marked = docs.withColumns({"__len": F.length(norm), "__pre": F.xxhash64(F.substring(norm, 1, prefix_chars))})
     on = (F.col("__len") == F.col("__n")) & (F.col("__pre") == F.col("__p"))

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 import random
-from collections.abc import Callable
+from collections.abc import Callable, Hashable, Sequence
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from ..operators import losses
-from .program import Architecture, Genome, crossover, decode, mutate, random_genome
+from ..operators import losses, population
+from .program import Architecture, Genome, Node, crossover, decode, mutate, project, random_genome, render
 
 
 @dataclass
@@ -51,3 +53,81 @@ def fit(samples: DataFrame, truth: str, arch: Architecture, generations: int = 1
             fresh.append((worst, mutate(arch, child, rng)))
     scored.unpersist()
     return elite[0][1], history
+
+
+def phenotype_hash(outputs: Sequence[Node]) -> str:
+    """Equal for programs that are written alike, whatever genes are inactive."""
+    return hashlib.sha256(render(outputs).encode()).hexdigest()
+
+
+def behaviour_hashes(samples: DataFrame, programs: Sequence[Node], key: str) -> list[int]:
+    """For each program a hash of its outputs on all samples; key tells samples apart. One job, whose sums don't depend on the order of rows."""
+    out = project(samples, {f"__p{i}": p for i, p in enumerate(programs)})
+    row = out.agg(*[F.bit_xor(F.xxhash64(key, F.lit(0), F.coalesce(F.col(f"__p{i}").cast("string"), F.lit("null")))).alias(f"h{i}") for i in range(len(programs))]).first()
+    return list(row)
+
+
+@dataclass
+class Archive:
+    """The best genome of each cell."""
+
+    cells: dict[Hashable, tuple[float, Genome]] = field(default_factory=dict)
+    history: History = field(default_factory=History)
+    coverage: list[int] = field(default_factory=list)
+
+
+def fit_map_elites(samples: DataFrame, truth: str, arch: Architecture, cell_of: Callable[[Sequence[Node], float], Hashable], generations: int = 10, children: int = 8, loss: Callable = losses.absolute, close: float = 1e-9, seed: int = 0) -> Archive:
+    """MAP-Elites: children of members drawn from all cells, scored in one job a generation; a cell keeps its best, of equals the newest.
+
+    cell_of gives the cell of a program (its outputs, its loss). NULL and NaN losses count as infinite.
+    """
+    rng, archive, scored = random.Random(seed), Archive(), samples.cache()
+    fresh = [random_genome(arch, rng) for _ in range(children)]
+    for _ in range(generations):
+        outputs = [decode(arch, g) for g in fresh]
+        found = losses.score(scored, [o[0] for o in outputs], truth, loss)
+        archive.history.evaluations += len(fresh)
+        for genome, nodes, x in zip(fresh, outputs, found, strict=True):
+            value = float("inf") if x is None or x != x else x
+            cell = cell_of(nodes, value)
+            if cell not in archive.cells or value <= archive.cells[cell][0]:
+                archive.cells[cell] = (value, genome)
+        archive.history.best.append(min(x for x, _ in archive.cells.values()))
+        archive.coverage.append(len(archive.cells))
+        if archive.history.best[-1] <= close:
+            break
+        members = [g for _, g in archive.cells.values()]
+        fresh = [mutate(arch, rng.choice(members), rng) for _ in range(children)]
+    scored.unpersist()
+    return archive
+
+
+def fit_nsga2(samples: DataFrame, objectives: Sequence[tuple[str, Callable]], arch: Architecture, generations: int = 5, size: int = 8, tournament: int = 2, seed: int = 0) -> list[tuple[int, tuple[float, ...], Genome]]:
+    """NSGA-II over several losses, (column of the truth, loss) each: (rank, losses, genome) of the last population, best first.
+
+    Fronts, crowding, tournaments and survival are those of ``operators.population``, over tables of a row a member.
+    """
+    rng, scored, spark = random.Random(seed), samples.cache(), samples.sparkSession
+    names = [f"o{k}" for k in range(len(objectives))]
+    known: dict[int, tuple[tuple[float, ...], Genome]] = {}
+
+    def add(genomes: list[Genome]) -> None:
+        programs = [decode(arch, g)[0] for g in genomes]
+        found = [losses.score(scored, programs, truth, loss) for truth, loss in objectives]
+        for genome, values in zip(genomes, zip(*found, strict=True), strict=True):
+            known[len(known)] = (tuple(float("inf") if x is None or x != x else float(x) for x in values), genome)
+
+    def ranked(members: list[int]) -> DataFrame:
+        rows = spark.createDataFrame([(m, *known[m][0]) for m in members], ", ".join(["ind_id long", *[f"{n} double" for n in names]]))
+        return population.crowding(population.pareto_ranks(rows, names), names)
+
+    add([random_genome(arch, rng) for _ in range(size)])
+    members = list(known)
+    for generation in range(generations):
+        chosen = [r["ind_id"] for r in population.ranked_tournaments(ranked(members), 2 * size, tournament, seed=seed + generation).orderBy("round").collect()]
+        start = len(known)
+        add([mutate(arch, crossover(known[a][1], known[b][1], rng)[0], rng) for a, b in zip(chosen[::2], chosen[1::2], strict=True)])
+        members = [r["ind_id"] for r in population.survivors(ranked([*members, *range(start, len(known))]), size).collect()]
+    last = ranked(members).orderBy("rank", "ind_id").collect()
+    scored.unpersist()
+    return [(r["rank"], *known[r["ind_id"]]) for r in last]

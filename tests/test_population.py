@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
-from sparkloom.operators import network, population
+from sparkloom.operators import losses, network, population
+from sparkloom.plans import program, search
+from sparkloom.registry import REGISTRY
 
 
 @pytest.fixture(scope="module")
@@ -79,3 +81,37 @@ def test_sampling(spark, pop):
 def test_tournaments_by_rank_and_room(spark):
     ranked = spark.createDataFrame([(1, 1, 0.5), (2, 1, float("inf")), (3, 2, float("inf"))], "ind_id long, rank int, crowding double")
     assert {r["ind_id"] for r in population.ranked_tournaments(ranked, 4, 3).collect()} == {2}
+
+
+@pytest.fixture(scope="module")
+def arch():
+    return program.Architecture((("a", "float"),), ("float",), (0,), nodes=4, registry=REGISTRY.preset("float", families=["scalar"]))
+
+
+@pytest.fixture(scope="module")
+def samples(spark):
+    return spark.createDataFrame([(i, float(i), 2.0 * i, float(i * i)) for i in range(12)], "k long, a double, y double, z double")
+
+
+def test_map_elites_keeps_the_best_of_each_cell(samples, arch):
+    archive = search.fit_map_elites(samples, "y", arch, lambda outputs, loss: len(program.steps(outputs)), generations=4, children=6, seed=1)
+    assert archive.coverage == sorted(archive.coverage) and archive.history.best == sorted(archive.history.best, reverse=True)
+    for cell, (value, genome) in archive.cells.items():
+        outputs = program.decode(arch, genome)
+        again = losses.score(samples, [outputs[0]], "y")[0]
+        assert len(program.steps(outputs)) == cell and (value == again or again is None or again != again)
+
+
+def test_nsga2_returns_fronts(samples, arch):
+    found = search.fit_nsga2(samples, [("y", losses.absolute), ("z", losses.absolute)], arch, generations=2, size=6, seed=2)
+    assert len(found) == 6 and [r for r, _, _ in found] == sorted(r for r, _, _ in found)
+    for rank, values, _ in found:
+        assert (rank == 1) == (not any(dominates(other, values) for _, other, _ in found))
+
+
+def test_hashes_of_programs(samples, arch):
+    a, one = program.Input("a", "float"), program.Constant(1.0, "float")
+    plus, times = program.call("number_sum", a, one), program.call("number_mult", a, one)
+    assert search.phenotype_hash([plus]) != search.phenotype_hash([times]) and search.phenotype_hash([plus]) == search.phenotype_hash([program.call("number_sum", a, one)])
+    h = search.behaviour_hashes(samples, [a, times, plus], "k")
+    assert h[0] == h[1] != h[2] and search.behaviour_hashes(samples.repartition(3), [a, times, plus], "k") == h

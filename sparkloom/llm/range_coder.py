@@ -25,9 +25,9 @@ import numpy as np
 
 MAGIC = b"SLF3"
 #: Ids in a block about; shortest blocks of a small frame; blocks of one; ids from which on a frame has one more doubling of classes, most doublings; pairs that classes are made from; blocks that are modelled at once.
-BLOCK_IDS, SHORT_IDS, BLOCKS, CLASS_IDS, DOUBLINGS, CLASS_PAIRS, TOGETHER = 2048, 512, 64, 1 << 15, 4, 1 << 19, 48
+BLOCK_IDS, SHORT_IDS, BLOCKS, CLASS_IDS, DOUBLINGS, CLASS_PAIRS, TOGETHER = 1024, 512, 64, 1 << 15, 4, 1 << 18, 96
 #: Bits of the split range, of a rate, of the slots of orders 1 and 2; steps between two renewals of the rates; weight of the frame's rates; levels in an octave of frequency.
-SCALE, RATE, BITS1, BITS2, RENEW, PRIOR, OCTAVE = 30, 12, 9, 11, 128, 64, 8
+SCALE, RATE, BITS1, BITS2, RENEW, PRIOR, OCTAVE = 30, 12, 8, 10, 96, 64, 8
 #: Ids below this are counted in a table. A prediction's state: 0 for none, else successes in a row, from 1 on, below this.
 TABLE, STATES = 1 << 22, 8
 #: A block's range stays in 36 to 52 bits, so that quotients of it are exact in floating point.

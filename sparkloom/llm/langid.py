@@ -141,7 +141,7 @@ class Remembered:
         return out
 
 
-def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1500) -> LanguageModel:
+def train(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", id_col: str = "doc_id", per_language: int = 1000) -> LanguageModel:
     """Fit on a sample of labelled rows: by hash about ``per_language`` documents of each language (all, if it has fewer).
 
     The words of the sample are counted in Spark, and the counts, which its rows bound, come to the driver: every word

@@ -24,14 +24,14 @@ PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}(?![A-Za-z0-9])")
 SSN = re.compile(r"(?<![0-9-])(?!000|666|9)[0-9]{3}-(?!00)[0-9]{2}-(?!0000)[0-9]{4}(?![0-9-])")
 
-#: Words that speak for a kind when they stand near it.
+#: Words that speak for a kind when they stand near it, in English, German, French and Spanish.
 CONTEXT = {
-    "email": ("mail", "e-mail", "email", "contact", "write"),
-    "ip": ("ip", "address", "server", "host"),
-    "card": ("card", "credit", "visa", "mastercard", "payment"),
-    "phone": ("phone", "call", "tel", "telephone", "mobile", "fax"),
-    "iban": ("iban", "account", "bank", "bic", "konto"),
-    "ssn": ("ssn", "social", "security"),
+    "email": ("mail", "e-mail", "email", "contact", "write", "kontakt", "schreiben", "courriel", "écrire", "correo", "contacto", "escribir"),
+    "ip": ("ip", "address", "server", "host", "adresse", "rechner", "serveur", "dirección", "servidor"),
+    "card": ("card", "credit", "visa", "mastercard", "payment", "karte", "kreditkarte", "zahlung", "carte", "crédit", "paiement", "tarjeta", "crédito", "pago"),
+    "phone": ("phone", "call", "tel", "telephone", "mobile", "fax", "telefon", "anruf", "handy", "téléphone", "appeler", "portable", "teléfono", "llamar", "móvil"),
+    "iban": ("iban", "account", "bank", "bic", "konto", "compte", "banque", "cuenta", "banco"),
+    "ssn": ("ssn", "social", "security", "sozialversicherung", "sécurité", "sociale", "seguridad"),
 }
 #: Score before context, what one context word adds, and how many characters on either side count as near.
 PRIOR = {"email": 0.9, "ip": 0.7, "card": 0.8, "phone": 0.7, "iban": 0.9, "ssn": 0.3}

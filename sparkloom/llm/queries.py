@@ -22,7 +22,7 @@ def op1_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_pii(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "pii")
     base = F.filter("pii", lambda s: s["base"])
     counts = [pii.count_of(F.col("pii"), kind).alias(f"n_{kind}") for kind in ("email", "ip", "card", "phone")]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"))
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("pii")).alias("spans"), F.array_join(F.transform("pii", lambda s: F.round(s["score"], 3).cast("string")), ",").alias("scores"))
 
 
 def op2_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, exact_dedup, html_extract, langid, mixing, pii, quality, simhash, token_store, url_filter
+from . import conversations, decontam, exact_dedup, html_extract, langid, lexical, mixing, pii, quality, simhash, token_store, url_filter, warc
 from .common import ascii_lower, shared_path, text_or_empty, written
 
 URL_RULES = (("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/"))
@@ -77,7 +77,23 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.leak_pairs(_table(spark, sf_dir, "documents").select("doc_id", "text"), _table(spark, sf_dir, "benchmark"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_html_extract, op3_url_filter, op4_mixing, op5_simhash, op6_token_ids, op7_exact_dedup, op8_langid, op9_quality, op10_decontaminate)}
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversations.audit(_table(spark, sf_dir, "conversations"))
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "warc")
+    warc.write_warc(warc.mark_revisits(_table(spark, sf_dir, "pages").select("page_id", "url", "html")), path)
+    return warc.read_warc(spark, path, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op13_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = shared_path(spark, "lexical")
+    lexical.build_index(_table(spark, sf_dir, "documents"), path)
+    return lexical.search(spark, path, _table(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_pii, op2_html_extract, op3_url_filter, op4_mixing, op5_simhash, op6_token_ids, op7_exact_dedup, op8_langid, op9_quality, op10_decontaminate, op11_conversation_repair, op12_warc, op13_lexical_search)}
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -112,4 +128,23 @@ ORACLE_SQL: dict[str, str] = {
         with h as (select doc_id, sha256(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}')) as text_sha256 from documents),
         g as (select *, max(doc_id) over (partition by text_sha256) as keep_id, count(*) over (partition by text_sha256) as group_size from h)
         select doc_id, keep_id, group_size, doc_id is not distinct from keep_id as kept, text_sha256 from g""",
+    "op12_warc": """
+        with p as (select page_id, octet_length(encode(coalesce(html, ''))) as payload_bytes, sha1(coalesce(html, '')) as hex, sha256(coalesce(html, '')) as key from pages),
+        d as (select *, max(page_id) over (partition by key) as keep,
+                     array_to_string(list_transform(range(0, 40, 5), lambda i: array_to_string(list_transform([15, 10, 5, 0], lambda s:
+                       substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', (((('0x' || substr(hex, i + 1, 5))::bigint >> s) & 31) + 1)::int, 1)), '')), '') as payload_digest from p)
+        select page_id, payload_bytes::bigint as payload_bytes, payload_digest, case when page_id is not distinct from keep then 'response' else 'revisit' end as record_type,
+               case when page_id is distinct from keep then keep end as refers_to from d""",
+    "op13_lexical_search": rf"""
+        with t as (select doc_id, row_number() over () as k, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') as terms from documents),
+        d as (select doc_id, k, len(terms)::bigint as n, terms from t where len(terms) > 0),
+        c as (select count(*)::bigint as docs, sum(n)::bigint as total from d),
+        q as (select distinct item_id, unnest(regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) as term from benchmark),
+        p as (select k, term, count(*)::bigint as tf from (select k, unnest(terms) as term from d) where term in (select term from q) group by k, term),
+        f as (select term, count(*)::bigint as df from p group by term),
+        w as (select term, floor(1000 * ln((2 * docs + 2)::double / (2 * df + 1)))::bigint as w from f, c),
+        s as (select q.item_id, p.k, sum(w.w * ((1000000000 * p.tf) // (1000 * p.tf + 8 * (100 - 90 + (90 * d.n * c.docs) // c.total))))::bigint as score
+              from q join p using (term) join w using (term) join d on d.k = p.k, c group by q.item_id, p.k),
+        r as (select item_id, row_number() over (partition by item_id order by score desc, doc_id nulls last)::int as rank, doc_id, score from s join d using (k) where score > 0)
+        select item_id, rank, doc_id, score from r where rank <= 10""",
 }

@@ -17,7 +17,7 @@ SF = "/root/testdata/sf0.001"
 @pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_sql(spark, name):
     con = duckdb.connect()
-    for t in ("documents", "pages"):
+    for t in ("documents", "pages", "benchmark"):
         con.execute(f"create view {t} as select * from '{SF}/{t}.parquet'")
     got = queries.QUERIES[name](spark, SF)
     cursor = con.execute(queries.ORACLE_SQL[name])
@@ -28,7 +28,7 @@ def test_sql(spark, name):
 
 def test_every_operator_has_its_query():
     names = __spark_entry__.queries()
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)] and set(queries.QUERIES) | {"pipeline"} <= set(names)
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)] and set(queries.QUERIES) | {"pipeline"} <= set(names)
 
 
 def test_pipeline_by_hand(spark):

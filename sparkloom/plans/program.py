@@ -9,7 +9,7 @@ from __future__ import annotations
 import hashlib
 import json
 import random
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame
@@ -19,7 +19,7 @@ from .. import functions  # noqa: F401  registers the operators
 from ..registry import REGISTRY, SPARK_TYPES, EngineConf, OpSpec, Registry
 
 #: Families that work in pandas UDFs, which Spark allows in no lambda of a later step.
-OWN_COLUMN = {"binarize"}
+OWN_COLUMN = {"binarize", "image_graph"}
 
 
 @dataclass(frozen=True)
@@ -34,14 +34,30 @@ class Constant:
     type: str
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, eq=False)
 class Call:
-    """An operator applied to nodes; nodes compare by structure."""
+    """An operator applied to nodes; nodes compare by structure, in time linear in their distinct steps."""
 
     op: str
     args: tuple
     type: str = "any"
 
+    def __post_init__(self) -> None:
+        # Worked out once, from the hashes of the arguments: programs may share sub-programs at every step.
+        object.__setattr__(self, "_hash", hash((self.op, self.args, self.type)))
+
+    def __hash__(self) -> int:
+        return self._hash
+
+    def __eq__(self, other: object) -> bool:
+        if self is other or not isinstance(other, Call) or self._hash != other._hash:
+            return self is other
+        mine, theirs = Sharing().rebuild([self, other])
+        return mine is theirs
+
+    def __reduce__(self):
+        return Call, (self.op, self.args, self.type)
+
 
 Node = Input | Constant | Call
 
@@ -76,8 +92,38 @@ def steps(outputs: Sequence[Node]) -> list[Call]:
     return list(seen)
 
 
+class Sharing:
+    """One object for each distinct node, so that programs that share much compare, compile and expand in time linear in their steps."""
+
+    def __init__(self):
+        self.nodes: dict[tuple, Node] = {}
+
+    def one(self, node: Node) -> Node:
+        """The object of a node whose arguments are such objects."""
+        parts = (node.op, node.type, *map(id, node.args)) if isinstance(node, Call) else (type(node), repr(node))
+        return self.nodes.setdefault(parts, node)
+
+    def rebuild(self, outputs: Sequence[Node], change: Callable[[Call, tuple], Node] = lambda c, args: Call(c.op, args, c.type), leaf: Callable[[Node], Node] = lambda n: n) -> list[Node]:
+        """The outputs with each call made anew, after its arguments, by change(call, new arguments), and inputs and constants by leaf."""
+        done: dict[int, Node] = {}
+        todo: list[tuple[Node, bool]] = [(n, False) for n in reversed(outputs)]
+        while todo:
+            node, ready = todo.pop()
+            if id(node) in done:
+                continue
+            if not isinstance(node, Call):
+                done[id(node)] = self.one(leaf(node))
+            elif ready:
+                done[id(node)] = self.one(change(node, tuple(done[id(a)] for a in node.args)))
+            else:
+                todo.append((node, True))
+                todo += [(a, False) for a in node.args]
+        return [done[id(n)] for n in outputs]
+
+
 def render(outputs: Sequence[Node]) -> str:
     """The steps as text, one line each."""
+    outputs = Sharing().rebuild(outputs)
     names: dict[Node, str] = {}
     show = lambda n: names[n] if n in names else n.column if isinstance(n, Input) else repr(n.value)
     lines = []
@@ -89,7 +135,8 @@ def render(outputs: Sequence[Node]) -> str:
 
 def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGISTRY, conf: EngineConf | None = None, fallbacks: dict[str, object] | None = None) -> DataFrame:
     """df with one column per output. Calls used more than once, and Python UDFs, are columns of their own, level by level; the rest nests."""
-    roots = list(outputs.values())
+    roots = Sharing().rebuild(list(outputs.values()))
+    outputs = dict(zip(outputs, roots, strict=True))
     order = steps(roots)
     uses: dict[Node, int] = {}
     for c in order:
@@ -131,6 +178,33 @@ def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGIST
     return made.withColumns({k: column(n) for k, n in outputs.items()}).drop(*names.values())
 
 
+def dump_nodes(outputs: Sequence[Node]) -> str:
+    """Programs as JSON: the distinct nodes in order, each call with the numbers of its arguments, then the outputs' numbers."""
+    outputs = Sharing().rebuild(outputs)
+    numbers: dict[int, int] = {}
+    rows: list[list] = []
+
+    def number(n: Node, row: list) -> None:
+        numbers[id(n)] = len(rows)
+        rows.append(row)
+
+    leaves = [a for c in steps(outputs) for a in c.args if not isinstance(a, Call)] + [o for o in outputs if not isinstance(o, Call)]
+    for n in leaves:
+        if id(n) not in numbers:
+            number(n, ["in", n.column, n.type] if isinstance(n, Input) else ["const", n.value, n.type])
+    for c in steps(outputs):
+        number(c, ["call", c.op, [numbers[id(a)] for a in c.args], c.type])
+    return json.dumps([rows, [numbers[id(o)] for o in outputs]])
+
+
+def load_nodes(text: str) -> list[Node]:
+    rows, outputs = json.loads(text)
+    made: list[Node] = []
+    for kind, *rest in rows:
+        made.append(Input(*rest) if kind == "in" else Constant(*rest) if kind == "const" else Call(rest[0], tuple(made[k] for k in rest[1]), rest[2]))
+    return [made[k] for k in outputs]
+
+
 # ---- genomes
 
 

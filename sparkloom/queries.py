@@ -11,6 +11,7 @@ from . import (
     functions,  # noqa: F401  registers the operators
     image_queries,
     list_queries,
+    program_queries,
 )
 from .functions.images import image
 from .operators import losses, network, population
@@ -203,7 +204,7 @@ def archive_best(spark, sf_dir):
     return population.archive_insert(o.where("ind_id % 2 = 0"), o.where("ind_id % 2 = 1"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (fuel_cost, program_outputs, scalar_numbers, scalar_conditions, strings, list_masks, list_arithmetic, list_sets, list_pairs, image_pixels, image_windows, image_binary, network_top, network_fittest, network_behaviours, loss_levenshtein, elite_orders, pareto_parts, pareto_orders, crowded_parts, archive_state, fitness_spread, nearest_cells, archive_best)} | image_queries.QUERIES | list_queries.QUERIES
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (fuel_cost, program_outputs, scalar_numbers, scalar_conditions, strings, list_masks, list_arithmetic, list_sets, list_pairs, image_pixels, image_windows, image_binary, network_top, network_fittest, network_behaviours, loss_levenshtein, elite_orders, pareto_parts, pareto_orders, crowded_parts, archive_state, fitness_spread, nearest_cells, archive_best)} | image_queries.QUERIES | list_queries.QUERIES | program_queries.QUERIES
 
 
 def _shown(**lists: str) -> str:
@@ -262,4 +263,4 @@ ORACLE_SQL: dict[str, str] = {
     "nearest_cells": """with e as (select vec_id, list_transform(embedding, lambda x: x::double) as v from embeddings), d as (select p.vec_id, c.vec_id as cell, list_sum(list_transform(p.v, lambda x, i: (x - c.v[i]) * (x - c.v[i]))) as d from e p, e c where c.vec_id < 20)
         select vec_id as ind_id, arg_min(cell, (d, cell)) as cell from d group by vec_id""",
     "archive_best": "select ind_id, cell, fitness from (select o_orderkey as ind_id, o_orderpriority as cell, o_totalprice as fitness, row_number() over (partition by o_orderpriority order by o_totalprice, o_orderkey % 2 desc, o_orderkey desc) as k from orders) where k = 1",
-} | image_queries.ORACLE_SQL | list_queries.ORACLE_SQL
+} | image_queries.ORACLE_SQL | list_queries.ORACLE_SQL | program_queries.ORACLE_SQL

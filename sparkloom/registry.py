@@ -154,13 +154,13 @@ class Registry:
         return spec.column(list(args), conf)
 
     def preset(self, returns: str, caster: str | None = None, fallback: Any = None, families: Iterable[str] | None = None) -> Registry:
-        """The operators that return one type, with a caster and a fallback for all of them."""
+        """The operators that can return one type, with a caster and a fallback for all of them; in the preset of a value type they return just that."""
         out = Registry()
         for specs in self.ops.values():
             for s in specs:
                 if accepts(s.returns, returns) or accepts(returns, s.returns) or s.returns == "any":
                     if families is None or s.family in set(families):
-                        out.register(replace(s, caster=caster or returns, fallback=s.fallback if fallback is None else fallback))
+                        out.register(replace(s, returns=s.returns if returns in ACCEPTS else returns, caster=caster or returns, fallback=s.fallback if fallback is None else fallback))
         return out
 
     def table(self, spark: SparkSession) -> DataFrame:

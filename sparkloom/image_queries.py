@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from . import functions  # noqa: F401  registers the operators
 from .functions.images import image
+from .plans.program import Constant, Input, call, project
 from .registry import REGISTRY as op
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -326,3 +327,47 @@ _query(
     lambda: {f"glcm_{p}_{s}": F.round(op(f"glcm_{p}_{s}", F.col("img")), 9) for p, s in _GLCM},
     f"{_CELLS} select vec_id, " + ", ".join(f'round({f}("{p}"), 9) as "glcm_{p}_{s}"' for p, s in _GLCM for f in [_SUMMED[s]]) + " from props group by vec_id",
 )
+
+# ---- graphs of regions
+
+#: Regions by reaching, triangles by trying all, distances by walking; f: distances, edge: edges, v: what each node has.
+_GRAPHS = f"""{_IMAGES.replace("with ", "with recursive ", 1)}, x as (select vec_id, unnest(p) as v, generate_subscripts(p, 1) - 1 as k from i), s as (select vec_id, k, k % 8 as r, k // 8 as c from x where v >= 0.62),
+    near as (select a.vec_id, a.k as k, b.k as j from s a join s b on a.vec_id = b.vec_id and abs(a.r - b.r) <= 1 and abs(a.c - b.c) <= 1),
+    reach(vec_id, k, j) as (select vec_id, k, k from s union select r.vec_id, r.k, n.j from reach r join near n on r.vec_id = n.vec_id and r.j = n.k),
+    region as (select vec_id, k, min(j) as first from reach group by vec_id, k),
+    node as (select vec_id, row_number() over (partition by vec_id order by first) as id, avg(r) + 1 as r, avg(c) + 1 as c from region join s using (vec_id, k) group by vec_id, first),
+    size as (select vec_id, count(*) as n from node group by vec_id having count(*) >= 3 and var_pop(r) * var_pop(c) - covar_pop(r, c) * covar_pop(r, c) > 1e-12),
+    g as (select vec_id, id, n, r, c, r + 1e-8 * (((7 * id * id + 31 * id) % 101 - 50) / 50) as a, c + 1e-8 * (((13 * id * id + 17 * id) % 103 - 51) / 51) as b from node join size using (vec_id)),
+    t as (select u.vec_id, u.id as i, v.id as j, w.id as k, u.a as ua, u.b as ub, v.a as va, v.b as vb, w.a as wa, w.b as wb, sign((v.a - u.a) * (w.b - u.b) - (v.b - u.b) * (w.a - u.a)) as turn
+          from g u join g v on u.vec_id = v.vec_id and u.id < v.id join g w on v.vec_id = w.vec_id and v.id < w.id),
+    blocked as (select distinct t.vec_id, i, j, k from t join g p on t.vec_id = p.vec_id and p.id not in (i, j, k) where turn * (
+          ((ua - p.a) * (ua - p.a) + (ub - p.b) * (ub - p.b)) * ((va - p.a) * (wb - p.b) - (vb - p.b) * (wa - p.a))
+        - ((va - p.a) * (va - p.a) + (vb - p.b) * (vb - p.b)) * ((ua - p.a) * (wb - p.b) - (ub - p.b) * (wa - p.a))
+        + ((wa - p.a) * (wa - p.a) + (wb - p.b) * (wb - p.b)) * ((ua - p.a) * (vb - p.b) - (ub - p.b) * (va - p.a))) > 0),
+    kept as (select vec_id, i, j, k from t anti join blocked using (vec_id, i, j, k)),
+    half as (select vec_id, i as s, j as t from kept union select vec_id, j, k from kept union select vec_id, i, k from kept),
+    edge as (select vec_id, s, t from half union all select vec_id, t, s from half),
+    walk(vec_id, s, t, d) as (select vec_id, id, id, 0 from g union select w.vec_id, w.s, e.t, d + 1 from walk w join edge e on w.vec_id = e.vec_id and w.t = e.s where d < 10),
+    f as (select vec_id, s, t, min(d) as d from walk group by vec_id, s, t),
+    deg as (select vec_id, s as id, count(*) as deg from edge group by vec_id, s),
+    tri as (select a.vec_id, a.s as id, count(*) / 2 as tri from edge a join edge b on a.vec_id = b.vec_id and a.t = b.s join edge c on b.vec_id = c.vec_id and b.t = c.s and c.t = a.s group by a.vec_id, a.s),
+    v as (select g.*, deg, coalesce(tri, 0) as tri, total, rim, max(rim) over (partition by g.vec_id) as diameter from g join deg using (vec_id, id) left join tri using (vec_id, id) join (select vec_id, s as id, sum(d) as total, max(d) as rim from f group by vec_id, s) using (vec_id, id)),
+    mixed as (select vec_id, avg((a.deg - 1) * (b.deg - 1)) as joint, avg(a.deg - 1) as one, avg((a.deg - 1) * (a.deg - 1)) as own from edge e join v a using (vec_id) join v b using (vec_id) where a.id = e.s and b.id = e.t group by vec_id),
+    told as (select vec_id, avg(deg / (n - 1)) as meandegreecentrality, max(deg / (n - 1)) as maximumoutdegreecentrality, stddev_samp(deg / (n - 1)) as stdindegreecentrality, arg_max(r, (deg, -id)) as xcoorargmaxdegreecentrality, arg_max(c, (deg, -id)) as ycoorargmaxdegreecentrality, arg_min(r, (deg, id)) as xcoorargmindegreecentrality,
+        avg((n - 1) / total) as meanclosenesscentrality, min((n - 1) / total) as minimumclosenesscentrality, avg((diameter + 1 - total / (n - 1)) / diameter) as meanradialitycentrality, avg(rim) as meaneccentricity, median(rim) as medianeccentricity,
+        (sum(total) - any_value(n * (n - 1))) / any_value(n * (n - 1) * (n - 2)) as meanbetweennesscentrality, avg(tri) as meantriangles, max(tri) as maximumtriangles, avg(case when deg > 1 then tri / (deg * (deg - 1) / 2) else 0 end) as meanclusteringcoefficient,
+        max(diameter) as diameter, sum(tri) / sum(deg * (deg - 1) / 2) as clustering_coefficient from v group by vec_id)"""
+_TOLD = ("meandegreecentrality", "maximumoutdegreecentrality", "stdindegreecentrality", "xcoorargmaxdegreecentrality", "ycoorargmaxdegreecentrality", "xcoorargmindegreecentrality", "meanclosenesscentrality", "minimumclosenesscentrality", "meanradialitycentrality", "meaneccentricity", "medianeccentricity", "meanbetweennesscentrality", "meantriangles", "maximumtriangles", "meanclusteringcoefficient", "diameter", "clustering_coefficient")
+
+
+def image_graphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Measures of the graphs of bright regions, as one program: every image is triangulated once."""
+    bright = call("experimental_tobinary_th_image2D_factory", Input("img", "image"), Constant(0.62, "float"))
+    made = project(images(spark, sf_dir), {k: call(k, bright) for k in (*_TOLD, "assortativity")})
+    return made.select("vec_id", *[_number(F.col(k)).alias(k) for k in (*_TOLD, "assortativity")])
+
+
+QUERIES["image_graphs"] = image_graphs
+ORACLE_SQL["image_graphs"] = (
+    f"{_GRAPHS} select i.vec_id, " + ", ".join(f"round(coalesce({k}, 0)::double, 6) as {k}" for k in _TOLD) + ", case when told.vec_id is null then 0 when own = one * one then -1 else round(((joint - one * one) / (own - one * one))::double, 6) end::double as assortativity from i left join told using (vec_id) left join mixed on told.vec_id = mixed.vec_id"
+)

@@ -135,7 +135,12 @@ def render(outputs: Sequence[Node]) -> str:
 
 def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGISTRY, conf: EngineConf | None = None, fallbacks: dict[str, object] | None = None) -> DataFrame:
     """df with one column per output. Calls used more than once, and Python UDFs, are columns of their own, level by level; the rest nests."""
-    roots = Sharing().rebuild(list(outputs.values()))
+    def lowered(c: Call, args: tuple) -> Node:
+        spec = registry.resolve(c.op, [a.type for a in args])
+        return Call(c.op, args, c.type) if spec.lower is None else sharing.rebuild([spec.lower(args)])[0]
+
+    sharing = Sharing()
+    roots = sharing.rebuild(list(outputs.values()), lowered)
     outputs = dict(zip(outputs, roots, strict=True))
     order = steps(roots)
     uses: dict[Node, int] = {}
@@ -144,6 +149,8 @@ def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGIST
             uses[a] = uses.get(a, 0) + 1
     for r in roots:
         uses[r] = uses.get(r, 0) + 1
+    # What goes into a Python UDF stays a column: Spark moves it into the UDF's arguments otherwise, and loses a UDF over nested lambdas.
+    kept = {a for c in order if registry.resolve(c.op, [x.type for x in c.args]).family in OWN_COLUMN for a in c.args if isinstance(a, Call)}
     built: dict[Node, Column] = {}
     names: dict[Node, str] = {}
     depth: dict[Node, int] = {}
@@ -164,7 +171,9 @@ def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGIST
         if fallbacks and spec.fallback is None and spec.returns in fallbacks:
             out = F.coalesce(out, F.lit(fallbacks[spec.returns]))
         level = max((depth.get(a, 0) for a in c.args), default=0)
-        if uses[c] > 1 or spec.family in OWN_COLUMN:
+        if c in kept:
+            out = F.when(F.monotonically_increasing_id() >= 0, out)
+        if uses[c] > 1 or spec.family in OWN_COLUMN or c in kept:
             names[c] = f"__t{k}"
             while len(levels) <= level:
                 levels.append({})

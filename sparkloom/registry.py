@@ -94,6 +94,8 @@ class OpSpec:
     caster: str | None = None
     doc: str = ""
     defaults: tuple = ()
+    #: How a program writes the operator by others, from its argument nodes, so that it can share them; None if it stays.
+    lower: Callable[[tuple], Any] | None = None
 
     def fits(self, types: Iterable[str]) -> bool:
         """Arguments beyond the parameters are ignored; parameters with defaults may be missing."""
@@ -130,12 +132,12 @@ class Registry:
         self.ops.setdefault(spec.name, []).append(spec)
         return spec
 
-    def op(self, params: str = "", returns: str = "any", name: str | None = None, family: str = "", fallback: Any = None, defaults: tuple = (), also: Iterable[str] = ()):
+    def op(self, params: str = "", returns: str = "any", name: str | None = None, family: str = "", fallback: Any = None, defaults: tuple = (), also: Iterable[str] = (), lower: Callable[[tuple], Any] | None = None):
         """Decorator: params are space-separated types."""
 
         def add(build: Callable[..., Column]) -> Callable[..., Column]:
             for n in (name or build.__name__, *also):
-                self.register(OpSpec(n, family or build.__module__.rpartition(".")[2], tuple(params.split()), returns, build, fallback, None, (build.__doc__ or "").strip(), defaults))
+                self.register(OpSpec(n, family or build.__module__.rpartition(".")[2], tuple(params.split()), returns, build, fallback, None, (build.__doc__ or "").strip(), defaults, lower))
             return build
 
         return add

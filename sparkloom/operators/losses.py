@@ -44,3 +44,36 @@ def score(samples: DataFrame, programs: Sequence[Node], truth: str, loss: Callab
         row = out.agg(*[F.avg(loss(F.col(f"__p{i}"), F.col(truth))).alias(f"l{i}") for i in range(len(part))]).first()
         found |= {p: row[i] for i, p in enumerate(part)}
     return [found[p] for p in programs]
+
+
+def levenshtein_many(preds: Sequence[Column], truths: Sequence[Column]) -> Column:
+    """Over several outputs: the sum of the edit distances, and 1000 more for a wrong number of outputs."""
+    wrong = F.lit(1000.0 if len(preds) != len(truths) else 0.0)
+    return sum((levenshtein(p, t) for p, t in zip(preds, truths, strict=False)), wrong)
+
+
+def absolute_many(preds: Sequence[Column], truths: Sequence[Column]) -> Column:
+    """The sum of the differences that are numbers, 10000 if none is; truths beyond the outputs are an error."""
+    if len(preds) < len(truths):
+        raise ValueError(f"{len(preds)} outputs for {len(truths)} values")
+    return absolute_sum(F.array(*[p.cast("double") for p in preds[: len(truths)]]), F.array(*[t.cast("double") for t in truths]))
+
+
+def vector_many(preds: Sequence[Column], truths: Sequence[Column]) -> Column:
+    """Over several lists: the sum of their vector losses, values rounded to 12 digits; a list with NaN counts nothing."""
+    if len(preds) < len(truths):
+        raise ValueError(f"{len(preds)} outputs for {len(truths)} lists")
+    rounded = lambda v: F.transform(v, lambda x: F.bround(x.cast("double"), 12))
+    parts = [vector(rounded(p), rounded(t)) for p, t in zip(preds, truths, strict=False)]
+    return sum((F.coalesce(F.nanvl(x, F.lit(0.0)), F.lit(0.0)) for x in parts), F.lit(0.0))
+
+
+def score_many(samples: DataFrame, programs: Sequence[Sequence[Node]], truths: Sequence[str], loss: Callable[[Sequence[Column], Sequence[Column]], Column], width: int = 50) -> list[float | None]:
+    """Mean loss of programs of several outputs each, as score(): one job for ``width`` programs at a time."""
+    found: list[float | None] = []
+    for at in range(0, len(programs), width):
+        part = programs[at : at + width]
+        out = project(samples, {f"__p{i}_{k}": node for i, outputs in enumerate(part) for k, node in enumerate(outputs)})
+        means = [F.avg(loss([F.col(f"__p{i}_{k}") for k in range(len(outputs))], [F.col(t) for t in truths])).alias(f"l{i}") for i, outputs in enumerate(part)]
+        found += list(out.agg(*means).first())
+    return found

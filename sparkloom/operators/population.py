@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..sources.tables import checkpointed
+from .network import sample_weighted
 
 
 def worst_last(fitness: Column) -> Column:
@@ -181,8 +182,8 @@ def coverage(archive: DataFrame, cells: int, cell: str = "cell", fitness: str =
 
 
 def archive_sample(archive: DataFrame, n: int, cell: str = "cell", seed: int = 0) -> DataFrame:
-    """n members by a seeded hash of their cells."""
-    return archive.orderBy(F.xxhash64(cell, F.lit(seed)), cell).limit(n)
+    """n members drawn with replacement, all cells alike; ``draw`` counts them."""
+    return sample_weighted(archive.withColumn("__one", F.lit(1.0)), n, "__one", cell, seed).drop("__one")
 
 
 def ranked_tournaments(ranked: DataFrame, rounds: int, size: int, id_col: str = "ind_id", seed: int = 0) -> DataFrame:

@@ -60,11 +60,18 @@ def phenotype_hash(outputs: Sequence[Node]) -> str:
     return hashlib.sha256(render(outputs).encode()).hexdigest()
 
 
-def behaviour_hashes(samples: DataFrame, programs: Sequence[Node], key: str) -> list[int]:
-    """For each program a hash of its outputs on all samples; key tells samples apart. One job, whose sums don't depend on the order of rows."""
+def behaviour_hashes(samples: DataFrame, programs: Sequence[Node], key: str) -> list[str]:
+    """For each program a hash of its outputs on all samples; key tells samples apart, and one that repeats is refused.
+
+    Two sums of row hashes of different seeds, modulo 2 to the 64: one job, with partial sums, whatever the rows' order.
+    """
     out = project(samples, {f"__p{i}": p for i, p in enumerate(programs)})
-    row = out.agg(*[F.bit_xor(F.xxhash64(key, F.lit(0), F.coalesce(F.col(f"__p{i}").cast("string"), F.lit("null")))).alias(f"h{i}") for i in range(len(programs))]).first()
-    return list(row)
+    row_hash = lambda i, seed: F.xxhash64(F.lit(seed), F.col(key), F.coalesce(F.col(f"__p{i}").cast("string"), F.lit("\0null"))).cast("decimal(38,0)")
+    sums = [F.coalesce(F.sum(row_hash(i, s)), F.lit(0)).alias(f"h{i}_{s}") for i in range(len(programs)) for s in (1, 2)]
+    row = out.agg(F.count("*").alias("n"), F.count_distinct(key).alias("keys"), *sums).first()
+    if row["n"] != row["keys"]:
+        raise ValueError(f"{key} doesn't tell samples apart")
+    return ["".join(f"{int(row[f'h{i}_{s}']) % 2**64:016x}" for s in (1, 2)) for i in range(len(programs))]
 
 
 @dataclass

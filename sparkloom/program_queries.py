@@ -8,7 +8,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .plans import parts, slots
+from .operators import losses
+from .plans import constants, parts, slots
+from .plans.network_search import fit_network
 from .plans.program import Architecture, Constant, Genome, Input, Node, call, decode, project
 from .registry import REGISTRY
 from .sources import programs
@@ -102,7 +104,38 @@ def stored_slots(spark, sf_dir):
     return new.project(shown, {"after": call("adf_1", _PRICE, _DISCOUNT, registry=new.registry)}).select("l_orderkey", "l_linenumber", "before", "after")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (slot_calls, slot_flattened, part_calls, stored_slots)}
+def loss_many(spark, sf_dir):
+    """Losses over two outputs, of texts, numbers and lists; one with an output too few."""
+    p = spark.read.parquet(f"{sf_dir}/part.parquet")
+    name, kind, brand, size, price = (F.col(c) for c in ("p_name", "p_type", "p_brand", "p_size", "p_retailprice"))
+    digits = lambda x, n: F.transform(F.sequence(F.lit(1), n), lambda i: (x + i).cast("double"))
+    text = losses.levenshtein_many([name, kind], [kind, brand])
+    short = losses.levenshtein_many([name], [kind, brand])
+    numbers = losses.absolute_many([size, F.when(size % 3 == 0, F.lit(float("nan"))).otherwise(price)], [size + 1, price / 2])
+    lists = losses.vector_many([digits(size, size % 5 + 1), digits(size, F.lit(2))], [digits(size * 2, size % 3 + 1), digits(price, F.lit(2))])
+    return p.select("p_partkey", text.alias("texts"), short.alias("short"), F.round(numbers, 6).alias("numbers"), F.round(lists, 6).alias("lists"))
+
+
+def fitted_line(spark, sf_dir):
+    """Slope and intercept of the mean price over each quantity, as constants of a program fitted to the least squared loss."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("p"))
+    p = lines.select((F.col("l_quantity") / 10).alias("x"), (F.col("p") / 10000).alias("y")).coalesce(1)
+    line = call("number_sum", call("number_mult", Input("slope", "float"), Input("x", "float")), Input("shift", "float"))
+    found = constants.fit_constants(p, line, {"slope": 0.0, "shift": 0.0}, "y", loss=lambda pred, truth: (pred - truth) * (pred - truth), generations=45, size=8, seed=1)
+    return spark.createDataFrame([tuple(round(found.values[k], 3) + 0.0 for k in ("slope", "shift"))], "slope double, shift double")
+
+
+def network_search(spark, sf_dir):
+    """Three generations of the search network over lists of quantities: its edges, with the behaviour that each reached."""
+    lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_orderkey").agg(F.array_sort(F.collect_list("l_quantity")).alias("v"), (F.avg("l_extendedprice") / 1000).alias("y"))
+    arch = Architecture((("v", "list<float>"),), ("list<float>", "float"), (1,), nodes=6, arity=2, registry=REGISTRY.preset("float", families={"lists"}))
+    arch.registry.ops |= REGISTRY.preset("list<float>", families={"lists"}).ops
+    run = fit_network(lines, "y", "l_orderkey", arch, new_folder(spark, "network"), generations=3, size=5, elites=2, seed=3)
+    nodes = run.store.read("nodes").select(F.col("id_hash").alias("_to"), "behavior", "phenotype")
+    return run.store.read("edges").join(nodes, "_to").select("_from", "_to", "iteration", "fitness", "elite", "behavior", "phenotype")
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (slot_calls, slot_flattened, part_calls, stored_slots, loss_many, fitted_line, network_search)}
 
 _NET = "l_extendedprice * (1 - l_discount)"
 _WHOLE = f"({_NET} * (1 + l_tax) + {_NET} - l_discount * ({_NET} * (1 + l_tax))) / l_quantity"
@@ -112,4 +145,8 @@ ORACLE_SQL: dict[str, str] = {
     "slot_flattened": f"select l_orderkey, l_linenumber, {_NET} * (1 + l_tax) / l_quantity as called, {_NET} * (1 + l_tax) / l_quantity as flat from lineitem",
     "part_calls": f"select l_orderkey, l_linenumber, {_WHOLE} as whole, {_WHOLE} as p0, {_WHOLE} as p1, {_WHOLE} as p2, {_WHOLE} as p3 from lineitem",
     "stored_slots": f"select l_orderkey, l_linenumber, {_NET} * (1 + l_tax) + {_NET} as before, l_extendedprice * l_discount as after from lineitem",
+    "loss_many": """select p_partkey, (levenshtein(p_name, p_type) + levenshtein(p_type, p_brand))::double as texts, (levenshtein(p_name, p_type) + 1000)::double as short,
+        round(1 + case when p_size % 3 = 0 then 0 else abs(p_retailprice - p_retailprice / 2) end, 6) as numbers,
+        round(abs(p_size % 5 - p_size % 3) * 1000 + p_size * (least(p_size % 5, p_size % 3) + 1) + 2 * abs(p_retailprice - p_size), 6)::double as lists from part""",
+    "fitted_line": "with p as (select l_quantity / 10 as x, avg(l_extendedprice) / 10000 as y from lineitem group by l_quantity) select round(regr_slope(y, x), 3) as slope, round(regr_intercept(y, x), 3) as shift from p",
 }

@@ -1,3 +1,3 @@
 """The operator catalogue; importing it registers all operators."""
 
-from . import binarize, image_graph, images, lists, scalar, strings  # noqa: F401
+from . import binarize, image_graph, images, lists, scalar, strings, windows  # noqa: F401

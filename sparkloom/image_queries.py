@@ -16,6 +16,7 @@ from .functions.images import image
 from .plans.program import Constant, Input, call, project
 from .registry import REGISTRY as op
 
+_IMG = Input("img", "image")
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -47,6 +48,16 @@ def _number(x: Column) -> Column:
 
 
 
+def _program(name: str, nodes: Callable[[], dict], shown: Callable[[Column], Column], sql: str) -> None:
+    """A query that runs the operators as one program."""
+
+    def query(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return project(images(spark, sf_dir), nodes()).select("vec_id", *[shown(F.col(k)).alias(k) for k in nodes()])
+
+    query.__name__ = name
+    QUERIES[name], ORACLE_SQL[name] = query, sql
+
+
 def _query(name: str, columns: Callable[[], dict[str, Column]], sql: str) -> None:
     def query(spark: SparkSession, sf_dir: str) -> DataFrame:
         return images(spark, sf_dir).select("vec_id", *[c.alias(k) for k, c in columns().items()])
@@ -145,7 +156,7 @@ def _derived_sql(rows: list[list[float]], axis: str) -> str:
     return x if axis == "x" else y if axis == "y" else f"list_transform(list_zip({x}, {y}), lambda g: sqrt(g[1] * g[1] + g[2] * g[2]))"
 
 
-_query("image_derivatives", lambda: {k: _shown(op(k, F.col("img"))) for k in _DERIVED}, _pixels(**{f"{k}~": _derived_sql(*v) for k, v in _DERIVED.items()}))
+_program("image_derivatives", lambda: {k: call(k, _IMG) for k in _DERIVED}, _shown, _pixels(**{f"{k}~": _derived_sql(*v) for k, v in _DERIVED.items()}))
 
 
 def _weighed(width: int, weight: str) -> str:
@@ -158,12 +169,13 @@ def _weighed(width: int, weight: str) -> str:
 
 
 _GAUSS = {5: 1, 9: 2, 13: 3, 17: 4, 25: 6}
-_query(
+_program(
     "image_smoothing",
-    lambda: {f"gaussian{w}_image2D": _shown(op(f"gaussian{w}_image2D", F.col("img"))) for w in _GAUSS}
-    | {f"moffat{w}_image2D": _shown(op(f"moffat{w}_image2D", F.col("img"), F.lit(2.0), F.lit(1.5))) for w in (5, 13, 25)}
-    | {"laplacian3_image2D": _shown(op("laplacian3_image2D", F.col("img"))), "dog_image2D": _shown(op("dog_image2D", F.col("img"), F.lit(0.8), F.lit(1.6)))}
-    | {k: _shown(op(k, F.col("img"))) for k in ("findlocalminima_image2D", "findlocalmaxima_image2D")},
+    lambda: {f"gaussian{w}_image2D": call(f"gaussian{w}_image2D", _IMG) for w in _GAUSS}
+    | {f"moffat{w}_image2D": call(f"moffat{w}_image2D", _IMG, Constant(2.0, "float"), Constant(1.5, "float")) for w in (5, 13, 25)}
+    | {"laplacian3_image2D": call("laplacian3_image2D", _IMG), "dog_image2D": call("dog_image2D", _IMG, Constant(0.8, "float"), Constant(1.6, "float"))}
+    | {k: call(k, _IMG) for k in ("findlocalminima_image2D", "findlocalmaxima_image2D")},
+    _shown,
     _pixels(
         **{f"gaussian{w}_image2D~": _weighed(w, f"exp(-@ / {2.0 * s * s})") for w, s in _GAUSS.items()},
         **{f"moffat{w}_image2D~": _weighed(w, "pow(1 + @ / 4.0::double, -1.5::double)") for w in (5, 13, 25)},
@@ -180,7 +192,7 @@ def _cross(pick: str, of: str) -> str:
 
 
 _MORPH = {"erosion_2D": _each("x", "er"), "dilation_2D": _each("x", "di"), "opening_2D": _cross("greatest", "er"), "closing_2D": _cross("least", "di"), "tophat_2D": f"list_transform(list_zip(p, {_cross('greatest', 'er')}), lambda g: g[1] - g[2])", "bothat_2D": f"list_transform(list_zip({_cross('least', 'di')}, p), lambda g: g[1] - g[2])", "morphogradient_2D": _each("di[i] - er[i]"), "morpholaplace_2D~": _each("di[i] + er[i] - 2 * x")}
-_query("image_morphology", lambda: {k.rstrip("~"): _shown(op(k.rstrip("~"), F.col("img"))) for k in _MORPH}, _pixels(**_MORPH).replace("from i)", f"from (select *, {_cross('least', 'p')} as er, {_cross('greatest', 'p')} as di from i))"))
+_program("image_morphology", lambda: {k.rstrip("~"): call(k.rstrip("~"), _IMG) for k in _MORPH}, _shown, _pixels(**_MORPH).replace("from i)", f"from (select *, {_cross('least', 'p')} as er, {_cross('greatest', 'p')} as di from i))"))
 
 # ---- pools
 
@@ -262,11 +274,6 @@ _REGIONS = {
 }
 
 
-def _shown_regions(size: str) -> list[str]:
-    """All numbers of the fixed and the smallest region, some of the others."""
-    return [*_REGIONS] if size in ("", "_5p") else ["mean", "entropy", "contrast"]
-
-
 def _around(half: int) -> str:
     """Pixels around row 4, column 2."""
     return f"list_filter(p, lambda x, j: abs((j - 1) % 8 - 4) <= {half} and abs((j - 1) // 8 - 2) <= {half})"
@@ -277,7 +284,7 @@ def _region_sql() -> str:
     bins = ", ".join(f"{_BINS.replace('(w', f'(w{s}')} as b{s}" for s in _HALVES)
     shown = []
     for s in _HALVES:
-        for k in _shown_regions(s):
+        for k in _REGIONS:
             v = _REGIONS[k]
             for letter in "wob":
                 v = v.replace(f"({letter})", f"({letter}{s})").replace(f"({letter},", f"({letter}{s},")
@@ -285,7 +292,7 @@ def _region_sql() -> str:
     return f"{_IMAGES}, w as (select vec_id, {patches} from i), b as (select *, {bins} from w) select vec_id, {', '.join(shown)} from b"
 
 
-_query("image_regions", lambda: {f"region_{k}{s}": _number(op(f"region_{k}{s}", F.col("img"), F.lit(0.3), F.lit(0.6))) for s in _HALVES for k in _shown_regions(s)}, _region_sql())
+_program("image_regions", lambda: {f"region_{k}{s}": call(f"region_{k}{s}", _IMG, Constant(0.3, "float"), Constant(0.6, "float")) for s in _HALVES for k in _REGIONS}, _number, _region_sql())
 
 #: Sides of the rectangles around row 1, column 3, from the offsets r and c; half side 2.
 _HAAR = {"haar_lr": ("c < 0", "c > 0"), "haar_tb": ("r < 0", "r > 0"), "haar_diag_main": ("r * c > 0", "r * c < 0"), "haar_diag_anti": ("r * c < 0", "r * c > 0"), "haar_center_surround": ("abs(r) * 3 <= 2 and abs(c) * 3 <= 2", "not (abs(r) * 3 <= 2 and abs(c) * 3 <= 2)"), "haar_three_h": ("abs(c) * 3 > 2", "abs(c) * 3 <= 2"), "haar_three_v": ("abs(r) * 3 > 2", "abs(r) * 3 <= 2")}
@@ -319,12 +326,13 @@ _CELLS = f"""{_IMAGES}, x as (select vec_id, unnest(p) as v, generate_subscripts
     shares as (select *, n / sum(n) over (partition by vec_id, d) as s from cells), means as (select *, sum(i * s) over (partition by vec_id, d) as mu from shares),
     props as (select vec_id, d, sum(i * s) as glcm_mean_ref, sum((i - mu) * (i - mu) * s) as glcm_var_ref, sum((i - mu) * (j - mu) * s) / sum((i - mu) * (i - mu) * s) as correlation, sum((i - j) * (i - j) * s) as contrast, sum(s / (1 + (i - j) * (i - j))) as "IDM",
         sum(s * s) as "ASM", sum(-s * ln(s)) as glcm_entropy, max(s) as max_prob, sqrt(sum(s * s)) as energy, sum(abs(i - j) * s) as dissimilarity from means group by vec_id, d)"""
-#: The mean of every property over the directions, every summary of one.
-_GLCM = [*((p, "mean") for p in ("glcm_mean_ref", "glcm_var_ref", "correlation", "contrast", "IDM", "ASM", "glcm_entropy", "max_prob", "energy", "dissimilarity")), *(("contrast", s) for s in ("sum", "std", "minimum", "maximum"))]
+#: Every summary of every property over the directions.
+_GLCM = [(p, s) for p in ("glcm_mean_ref", "glcm_var_ref", "correlation", "contrast", "IDM", "ASM", "glcm_entropy", "max_prob", "energy", "dissimilarity") for s in ("mean", "sum", "std", "minimum", "maximum")]
 _SUMMED = {"mean": "avg", "sum": "sum", "std": "stddev_samp", "minimum": "min", "maximum": "max"}
-_query(
+_program(
     "image_glcm",
-    lambda: {f"glcm_{p}_{s}": F.round(op(f"glcm_{p}_{s}", F.col("img")), 9) for p, s in _GLCM},
+    lambda: {f"glcm_{p}_{s}": call(f"glcm_{p}_{s}", _IMG) for p, s in _GLCM},
+    lambda x: F.round(x, 9),
     f"{_CELLS} select vec_id, " + ", ".join(f'round({f}("{p}"), 9) as "glcm_{p}_{s}"' for p, s in _GLCM for f in [_SUMMED[s]]) + " from props group by vec_id",
 )
 

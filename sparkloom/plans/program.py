@@ -19,7 +19,7 @@ from .. import functions  # noqa: F401  registers the operators
 from ..registry import REGISTRY, SPARK_TYPES, EngineConf, OpSpec, Registry
 
 #: Families that work in pandas UDFs, which Spark allows in no lambda of a later step.
-OWN_COLUMN = {"binarize", "image_graph"}
+OWN_COLUMN = {"binarize", "image_graph", "image_windows"}
 
 
 @dataclass(frozen=True)
@@ -135,8 +135,15 @@ def render(outputs: Sequence[Node]) -> str:
 
 def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGISTRY, conf: EngineConf | None = None, fallbacks: dict[str, object] | None = None) -> DataFrame:
     """df with one column per output. Calls used more than once, and Python UDFs, are columns of their own, level by level; the rest nests."""
+    def resolve(c: str, types: Sequence[str]) -> OpSpec:
+        """The catalogue's own operators stand in where a smaller one lacks what its operators are written by."""
+        try:
+            return registry.resolve(c, types)
+        except LookupError:
+            return REGISTRY.resolve(c, types)
+
     def lowered(c: Call, args: tuple) -> Node:
-        spec = registry.resolve(c.op, [a.type for a in args])
+        spec = resolve(c.op, [a.type for a in args])
         return Call(c.op, args, c.type) if spec.lower is None else sharing.rebuild([spec.lower(args)])[0]
 
     sharing = Sharing()
@@ -150,7 +157,7 @@ def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGIST
     for r in roots:
         uses[r] = uses.get(r, 0) + 1
     # What goes into a Python UDF stays a column: Spark moves it into the UDF's arguments otherwise, and loses a UDF over nested lambdas.
-    kept = {a for c in order if registry.resolve(c.op, [x.type for x in c.args]).family in OWN_COLUMN for a in c.args if isinstance(a, Call)}
+    kept = {a for c in order if resolve(c.op, [x.type for x in c.args]).family in OWN_COLUMN for a in c.args if isinstance(a, Call)}
     built: dict[Node, Column] = {}
     names: dict[Node, str] = {}
     depth: dict[Node, int] = {}
@@ -166,7 +173,7 @@ def project(df: DataFrame, outputs: dict[str, Node], registry: Registry = REGIST
         return built[n]
 
     for k, c in enumerate(order):
-        spec = registry.resolve(c.op, [a.type for a in c.args])
+        spec = resolve(c.op, [a.type for a in c.args])
         out = spec.column([column(a) for a in c.args], conf)
         if fallbacks and spec.fallback is None and spec.returns in fallbacks:
             out = F.coalesce(out, F.lit(fallbacks[spec.returns]))
@@ -336,3 +343,6 @@ def crossover(a: Genome, b: Genome, rng: random.Random) -> tuple[Genome, Genome]
     swapped = set(rng.sample(range(n), rng.randint(1, n - 1)))
     pick = lambda x, y: tuple(y.nodes[i] if i in swapped else x.nodes[i] for i in range(n))
     return replace(a, nodes=pick(a, b)), replace(b, nodes=pick(b, a))
+
+
+functions.windows.register()

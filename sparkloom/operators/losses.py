@@ -77,3 +77,10 @@ def score_many(samples: DataFrame, programs: Sequence[Sequence[Node]], truths: S
         means = [F.avg(loss([F.col(f"__p{i}_{k}") for k in range(len(outputs))], [F.col(t) for t in truths])).alias(f"l{i}") for i, outputs in enumerate(part)]
         found += list(out.agg(*means).first())
     return found
+
+
+def score_batches(samples: DataFrame, programs: Sequence[Node], truth: str, loss: Callable[[Column, Column], Column] = absolute, batch: str = "batch") -> list[dict[int, float | None]]:
+    """For each program its mean loss in every batch of the samples, all in one job; a program's loss is the mean over its batches."""
+    out = project(samples, {f"__p{i}": p for i, p in enumerate(programs)})
+    rows = out.groupBy(batch).agg(*[F.avg(loss(F.col(f"__p{i}"), F.col(truth))).alias(f"l{i}") for i in range(len(programs))]).collect()
+    return [{r[batch]: r[f"l{i}"] for r in rows} for i in range(len(programs))]

@@ -234,6 +234,8 @@ class Architecture:
     nodes: int = 10
     arity: int = 3
     registry: Registry = field(default=REGISTRY, compare=False)
+    #: Outputs stay at the last positions, the first output at the very last, and no mutation moves them.
+    frozen: bool = False
 
     def operators(self, kind: str) -> list[OpSpec]:
         """The operators of a chromosome, in order of name."""
@@ -268,7 +270,16 @@ def random_node(arch: Architecture, chromosome: int, position: int, rng: random.
 def random_genome(arch: Architecture, rng: random.Random) -> Genome:
     nodes = tuple(tuple(random_node(arch, c, p, rng) for p in range(arch.nodes)) for c in range(len(arch.chromosomes)))
     n = len(arch.inputs) + arch.nodes
-    return correct(arch, Genome(nodes, tuple(rng.randrange(n) for _ in arch.outputs)), rng)
+    outputs = last_positions(arch) if arch.frozen else tuple(rng.randrange(n) for _ in arch.outputs)
+    return correct(arch, Genome(nodes, outputs), rng)
+
+
+def last_positions(arch: Architecture) -> tuple[int, ...]:
+    """Where frozen outputs point: the k-th to the k-th last position."""
+    n = len(arch.inputs) + arch.nodes
+    if len(arch.outputs) > arch.nodes:
+        raise ValueError("more outputs than nodes")
+    return tuple(n - 1 - k for k in range(len(arch.outputs)))
 
 
 def decode(arch: Architecture, genome: Genome) -> list[Node]:
@@ -327,13 +338,57 @@ def mutate(arch: Architecture, genome: Genome, rng: random.Random, n: int = 1, o
         reached = sorted(active(arch, genome))
         for c, p in rng.sample(reached, min(n, len(reached))):
             nodes[c][p] = random_node(arch, c, p, rng)
-        outputs = tuple(rng.randrange(len(arch.inputs) + arch.nodes) if rng.random() < output_rate else o for o in genome.outputs)
+        outputs = _outputs(arch, genome, rng, output_rate)
         child = correct(arch, Genome(tuple(map(tuple, nodes)), outputs), rng)
         if not new_material or decode(arch, child) != decode(arch, genome):
             return child
     return child
 
 
+def _outputs(arch: Architecture, genome: Genome, rng: random.Random, rate: float) -> tuple[int, ...]:
+    if arch.frozen:
+        return genome.outputs
+    return tuple(rng.randrange(len(arch.inputs) + arch.nodes) if rng.random() < rate else o for o in genome.outputs)
+
+
+def _alleles(arch: Architecture, chromosome: int, position: int) -> list[int]:
+    """How many values each allele of a node can take: its operator, then position and chromosome of each argument."""
+    return [len(arch.operators(arch.chromosomes[chromosome])), *[len(arch.inputs) + position, len(arch.chromosomes)] * arch.arity]
+
+
+def _flat(node: tuple) -> list[int]:
+    return [node[0], *[x for pair in node[1:] for x in pair]]
+
+
+def _node(alleles: Sequence[int]) -> tuple:
+    return (alleles[0], *[(alleles[k], alleles[k + 1]) for k in range(1, len(alleles), 2)])
+
+
+def free_mutate(arch: Architecture, genome: Genome, rng: random.Random, rate: float = 0.1, changes: int = 1000) -> Genome:
+    """Each node, active or not, changes with a rate: alleles are drawn one at a time until it differs. Whether its operator takes the arguments isn't asked."""
+    nodes = []
+    for c, genes in enumerate(genome.nodes):
+        row = []
+        for p, node in enumerate(genes):
+            if rng.random() < rate:
+                ranges, alleles = _alleles(arch, c, p), _flat(node)
+                for _ in range(changes):
+                    if _node(alleles) != node:
+                        break
+                    k = rng.randrange(len(alleles))
+                    alleles[k] = rng.randrange(ranges[k])
+                node = _node(alleles)
+            row.append(node)
+        nodes.append(tuple(row))
+    return Genome(tuple(nodes), genome.outputs)
+
+
+def mutate_alleles(arch: Architecture, genome: Genome, rng: random.Random, rate: float = 0.1, output_rate: float = 0.1) -> Genome:
+    """Every allele of every node is drawn anew with the same rate, then nodes whose arguments no overload takes are drawn again."""
+    nodes = tuple(tuple(_node([rng.randrange(n) if rng.random() < rate else a for a, n in zip(_flat(node), _alleles(arch, c, p), strict=True)]) for p, node in enumerate(genes)) for c, genes in enumerate(genome.nodes))
+    return correct(arch, Genome(nodes, _outputs(arch, genome, rng, output_rate)), rng)
+
+
 def crossover(a: Genome, b: Genome, rng: random.Random) -> tuple[Genome, Genome]:
     """Swap at least one and not all chromosomes; with a single one, its halves."""
     n = len(a.nodes)

@@ -74,6 +74,19 @@ def behaviour_hashes(samples: DataFrame, programs: Sequence[Node], key: str) ->
     return ["".join(f"{int(row[f'h{i}_{s}']) % 2**64:016x}" for s in (1, 2)) for i in range(len(programs))]
 
 
+@dataclass
+class ObjectiveHistory:
+    """Of each generation the best loss of every objective, and how many members no other dominates."""
+
+    best: list[tuple[float, ...]] = field(default_factory=list)
+    front: list[int] = field(default_factory=list)
+
+    def add(self, losses_: Sequence[tuple[float, ...]]) -> None:
+        below = lambda a, b: all(x <= y for x, y in zip(a, b, strict=True)) and a != b
+        self.best.append(tuple(map(min, zip(*losses_, strict=True))))
+        self.front.append(sum(not any(below(o, v) for o in losses_) for v in losses_))
+
+
 @dataclass
 class Archive:
     """The best genome of each cell."""
@@ -109,7 +122,7 @@ def fit_map_elites(samples: DataFrame, truth: str, arch: Architecture, cell_of:
     return archive
 
 
-def fit_nsga2(samples: DataFrame, objectives: Sequence[tuple[str, Callable]], arch: Architecture, generations: int = 5, size: int = 8, tournament: int = 2, seed: int = 0) -> list[tuple[int, tuple[float, ...], Genome]]:
+def fit_nsga2(samples: DataFrame, objectives: Sequence[tuple[str, Callable]], arch: Architecture, generations: int = 5, size: int = 8, tournament: int = 2, seed: int = 0, history: ObjectiveHistory | None = None) -> list[tuple[int, tuple[float, ...], Genome]]:
     """NSGA-II over several losses, (column of the truth, loss) each: (rank, losses, genome) of the last population, best first.
 
     Fronts, crowding, tournaments and survival are those of ``operators.population``, over tables of a row a member.
@@ -135,6 +148,8 @@ def fit_nsga2(samples: DataFrame, objectives: Sequence[tuple[str, Callable]], ar
         start = len(known)
         add([mutate(arch, crossover(known[a][1], known[b][1], rng)[0], rng) for a, b in zip(chosen[::2], chosen[1::2], strict=True)])
         members = [r["ind_id"] for r in population.survivors(ranked([*members, *range(start, len(known))]), size).collect()]
+        if history is not None:
+            history.add([known[m][0] for m in members])
     last = ranked(members).orderBy("rank", "ind_id").collect()
     scored.unpersist()
     return [(r["rank"], *known[r["ind_id"]]) for r in last]

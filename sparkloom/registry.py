@@ -165,11 +165,34 @@ class Registry:
                         out.register(replace(s, returns=s.returns if returns in ACCEPTS else returns, caster=caster or returns, fallback=s.fallback if fallback is None else fallback))
         return out
 
+    def library(self, name: str) -> Registry:
+        """One of LIBRARIES."""
+        returns, fallback, families, only, without = LIBRARIES[name]
+        found = self.preset(returns, None, fallback, families.split())
+        keep = lambda n: (not only or n in only.split()) and n not in without.split()
+        return Registry({n: specs for n, specs in found.ops.items() if keep(n)})
+
     def table(self, spark: SparkSession) -> DataFrame:
         """The catalogue as a table."""
         rows = [(s.name, s.family, ", ".join(s.params), s.returns, s.doc) for specs in self.ops.values() for s in specs]
         return spark.createDataFrame(rows, "name string, family string, params string, returns string, doc string")
 
 
+#: Ready libraries: value type, fallback, families, operators (all of the families if empty), operators left out.
+LIBRARIES: dict[str, tuple[str, Any, str, str, str]] = {
+    "list_int": ("list<int>", (), "lists strings identity", "", ""),
+    "list_float": ("list<float>", (), "lists strings identity", "", ""),
+    "list_string": ("list<string>", (), "lists strings identity", "", ""),
+    "pairs_int": ("pairs<int>", (), "lists identity", "identity_list new_list vector_of_products vector_of_combinations mappings_a_to_b", ""),
+    "pairs_string": ("pairs<string>", (), "lists identity", "identity_list new_list vector_of_products vector_of_combinations mappings_a_to_b", ""),
+    "int": ("int", 0, "scalar lists identity", "", "identity_bool identity_float identity_str tanh relu"),
+    "float": ("float", 0.0, "scalar lists images identity", "", "identity_bool identity_int identity_str"),
+    "float_regression": ("float", 0.0, "scalar identity", "identity_float ret_1 tanh relu modulo is_eq_to str_is_empty experimental_is_gt experimental_is_lt experimental_not number_sum number_minus number_mult number_div safe_div power_of pi_ exp_ log_ log10_", ""),
+    "float_graph": ("float", 0.0, "image_graph_part", "", "graph_measure"),
+    "string": ("string", "", "strings scalar lists identity", "", "identity_bool identity_int identity_float"),
+    "image": ("image", None, "images binarize", "", ""),
+    "image_plain": ("image", None, "images", "identity_image2D ones_2D zeros_2D experimental_invert_2D subtract_img2D add_img2D mult_img2D max_img2D min_img2D bsubtract_image2D badd_image2D bmult_image2D", ""),
+}
+
 REGISTRY = Registry()
 op = REGISTRY.op

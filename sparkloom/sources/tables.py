@@ -43,6 +43,13 @@ def split(df: DataFrame, shares: tuple[float, ...] = (0.7, 0.15, 0.15), seed: in
     return df.randomSplit(list(shares), seed)
 
 
+def batched(df: DataFrame, key: str, batches: int, seed: int = 0) -> DataFrame:
+    """df with ``batch``, 0 to batches - 1, by a seeded hash of the key: about equal parts, the same in every run, without a shuffle."""
+    if batches < 1:
+        raise ValueError("at least one batch")
+    return df.withColumn("batch", F.pmod(F.xxhash64(F.lit(seed), key), F.lit(batches)).cast("int"))
+
+
 def check_columns(df: DataFrame, wanted: list[str]) -> None:
     if df.columns != wanted:
         raise ValueError(f"columns {df.columns} are not {wanted}")

@@ -15,22 +15,28 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """Mark the row that stays of each group of equal texts.
 
     Texts are equal when identical after lower-casing A-Z; null counts as empty. The rows of a group get
-    ``keep_id`` (its largest id), ``group_size`` and ``kept``. Lengths with one row drop out first, then prefix
-    hashes with one row; the full text is hashed only in the groups that are left. The keys of those groups are
-    broadcast while they take at most ``broadcast_bytes``; beyond it the rows' hashes meet them in a shuffle join.
+    ``keep_id`` (its largest id), ``group_size`` and ``kept``. Lengths are counted first: rows whose length nobody shares
+    drop out before any hash. Prefixes are hashed and counted among the rest, and the full text is hashed only where
+    length and prefix hash repeat. Each stage gathers counts, never rows; the lengths and the keys that are left are
+    broadcast while they take at most ``broadcast_bytes``, beyond it rows' hashes meet them in a shuffle join.
 
     Nulls: a null id never wins against another id; a group of null ids alone has a null keep_id and keeps its rows.
     Rows that repeat id and text are one document: they count in group_size and are kept or dropped together.
     Empty table: empty result. Input columns named like an output column are replaced; others pass through.
     """
     norm = ascii_lower(text_or_empty(text_col))
-    rows = docs.select(F.length(norm).alias("n"), F.xxhash64(F.substring(norm, 1, prefix_chars)).alias("p"))
-    # One pass counts the rows of each length and prefix hash; lengths are judged by sums of these counts, not by rows.
-    counts = checkpoint(rows.groupBy("n", "p").count())
-    lengths = counts.groupBy("n").agg(F.sum("count").alias("rows")).where("rows > 1").select("n")
-    keys = checkpoint(counts.where("count > 1").join(lengths, "n", "left_semi").select(F.col("n").alias("__n"), F.col("p").alias("__p"), F.lit(True).alias("__left")))
-
-    marked = docs.withColumns({"__len": F.length(norm), "__pre": F.xxhash64(F.substring(norm, 1, prefix_chars))})
+    lengths = checkpoint(docs.groupBy(F.length(norm).alias("__n1")).agg(F.count("*").alias("rows")).where("rows > 1").select("__n1"))
+    few = lengths.count() * KEY_BYTES <= broadcast_bytes
+    prefix = F.substring(norm, 1, prefix_chars)
+    shared = docs.select(F.length(norm).alias("n"), prefix.alias("t")).join(F.broadcast(lengths) if few else lengths, F.col("n") == F.col("__n1"), "left_semi")
+    counts = shared.groupBy("n", F.xxhash64("t").alias("p")).count()
+    keys = checkpoint(counts.where("count > 1").select(F.col("n").alias("__n"), F.col("p").alias("__p"), F.lit(True).alias("__left")))
+
+    marked = docs.withColumn("__len", F.length(norm))
+    if few:  # rows of a length of their own have no prefix hash, and so no key
+        marked = marked.join(F.broadcast(lengths), F.col("__len") == F.col("__n1"), "left").withColumn("__pre", F.when(F.col("__n1").isNotNull(), F.xxhash64(prefix))).drop("__n1")
+    else:
+        marked = marked.withColumn("__pre", F.xxhash64(prefix))
     on = (F.col("__len") == F.col("__n")) & (F.col("__pre") == F.col("__p"))
     if keys.count() * KEY_BYTES <= broadcast_bytes:
         marked = marked.join(F.broadcast(keys), on, "left")
@@ -41,7 +47,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = marked.withColumn("__full", full)
     groups = marked.where("__left").groupBy("__full").agg(F.max(id_col).alias("__keep"), F.count("*").alias("__size")).where("__size > 1").withColumnRenamed("__full", "__group")
     # Rows of no group get a key of their own, so that they spread over the join's partitions.
-    own = F.concat(F.lit("-"), F.xxhash64(id_col, F.col("__len"), F.col("__pre")).cast("string"))
+    own = F.concat(F.lit("-"), F.xxhash64(id_col, F.col("__len")).cast("string"))
     joined = marked.withColumn("__key", F.coalesce("__full", own)).join(groups, F.col("__key") == F.col("__group"), "left")
     keep = F.when(F.col("__group").isNull(), F.col(id_col)).otherwise(F.col("__keep"))
     out = with_columns(joined, {"keep_id": keep, "group_size": F.coalesce("__size", F.lit(1)).cast("long"), "kept": keep.eqNullSafe(F.col(id_col))})

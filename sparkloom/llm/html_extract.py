@@ -26,11 +26,28 @@ OPEN = re.compile(r"<!--.*|<!\[CDATA\[.*|<[!?][^>]*+", re.S)
 RAW_END = {tag: re.compile(rf"</{tag}\b[^>]*>", re.I) for tag in RAW}
 CONTAINER = frozenset("article main section div td".split())
 DROPPED = frozenset("head nav aside footer form script style noscript template iframe svg canvas object button select input textarea dialog menu audio video map".split())
-#: A class or id whose parts are all of these, or of these and of COMMON, marks what is not the article.
-NOISE = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar breadcrumb breadcrumbs ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login search comment comments commentlist reply replies respond disqus share sharing social related recommended recommendations widget toolbar pagination pager copyright disclaimer skip hidden".split())
+#: Parts of a class or id that make an element suspect of not being the article, by what it may be. What it holds decides.
+READERS = frozenset("comment comments commentlist disqus respond replies".split())
+ANSWERS = frozenset("reply".split())
+FURNITURE = frozenset("nav navbar navigation menu menubar sidebar aside footer header masthead topbar breadcrumb breadcrumbs toolbar pagination pager copyright disclaimer skip hidden widget".split())
+ADVERTS = frozenset("ad ads adv advert adverts advertisement advertisements sponsor sponsored promo promotion".split())
+NOTICES = frozenset("banner notice notices alert popup modal overlay".split())
+CONSENT = frozenset("cookie cookies consent gdpr".split())
+ASKING = frozenset("newsletter subscribe subscription signup login search".split())
+ELSEWHERE = frozenset("share sharing social related recommended recommendations".split())
+SUSPECT = READERS | ANSWERS | FURNITURE | ADVERTS | NOTICES | CONSENT | ASKING | ELSEWHERE
+#: Parts that say nothing of what an element is, and parts that speak of a page's state: a name with one of these isn't a suspect's.
 COMMON = frozenset("area bar block box column container frame group inner item items link links list outer panel row section site slot small large top bottom left right unit wrap wrapper zone".split())
+STATE = frozenset("open opened closed enabled disabled off on count has no with without is".split())
+#: Parts that, beside one of ELSEWHERE, mean other articles; parts of the site's own header inside an article.
+OTHERS = frozenset("posts articles stories news content reading videos topics pages".split())
+SITE = frozenset("site global masthead topbar nav navbar".split())
+#: Characters of sentences from which on an element is an article about advertising or cookies, and not one of these.
+LONG = 600
 #: Elements that names don't take out: headings, and what stands inside a line.
 NAMED = frozenset("h1 h2 h3 h4 h5 h6 hgroup a abbr b bdi bdo cite code data del dfn em i ins kbd mark math q rp rt ruby s samp small strong sub sup time u var".split())
+#: Elements that a reader fills in or presses.
+CONTROLS = frozenset("form input button select textarea".split())
 #: Parts that mark the article itself.
 MAIN = frozenset("article content main post entry story body text".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form alert dialog menu menubar".split())
@@ -39,25 +56,53 @@ ROLES = frozenset("navigation banner contentinfo complementary search form alert
 SHARE = 0.1
 
 
-def _is_noise(word: str) -> bool:
-    pieces = [p for p in re.split(r"[^a-z]+", word) if p]
-    return any(p in NOISE for p in pieces) and all(p in NOISE or p in COMMON for p in pieces)
+SENTENCE_END = re.compile(r"[.!?\u2026\u3002\uff01\uff1f][\"'\u201d\u2019\u00bb)\]]*$")
 
 
-def _names(attributes: str) -> tuple[list[str], bool, bool]:
-    """Generalised class and id parts (digits and ids of chance removed), whether they mark noise, and whether the element is hidden or has a role beside the article."""
-    parts, noise, hidden = [], False, False
+def _pieces(word: str) -> frozenset[str]:
+    return frozenset(p for p in re.split(r"[^a-z]+", word) if p)
+
+
+def _names(attributes: str) -> tuple[list[str], list[frozenset[str]], bool]:
+    """Generalised class and id parts (digits and ids of chance removed), the pieces of the suspect ones, and whether the element is hidden or has a role beside the article."""
+    parts, suspect, hidden = [], [], False
     for m in ATTRIBUTE.finditer(attributes):
         key, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
         if key in ("class", "id"):
             for word in value.split():
                 parts.append(re.sub(r"[0-9]+", "#", word))
-                noise = noise or _is_noise(word)
+                if (pieces := _pieces(word)) & SUSPECT and not pieces & STATE:
+                    suspect.append(pieces)
         elif key == "role":
             hidden |= value.strip() in ROLES
         elif key == "hidden" or "display:none" in value.replace(" ", ""):
             hidden |= key in ("hidden", "style")
-    return parts, noise, hidden
+    return parts, suspect, hidden
+
+
+def _whole(pieces: frozenset[str]) -> bool:
+    """Nothing in the name but what makes it suspect."""
+    return pieces <= SUSPECT | COMMON
+
+
+def unwanted(pieces: frozenset[str], tag: str, text: int, linked: int, sentences: int, controls: int, alike: int) -> bool:
+    """Whether an element with a suspect name is not of the article, by its characters, those inside links and those of sentences, its form controls, and the elements like it beside it."""
+    prose = sentences > 0 and 2 * sentences >= text and 5 * linked < 2 * text
+    if pieces & READERS:
+        return True
+    if pieces & FURNITURE and _whole(pieces):
+        return True
+    if pieces & ADVERTS:
+        return _whole(pieces) or sentences < LONG
+    if pieces & CONSENT:
+        return sentences < LONG
+    if pieces & NOTICES:
+        return not prose or tag != "p" and _whole(pieces) and sentences < LONG
+    if pieces & ASKING:
+        return controls > 0 or not prose or "form" in pieces or bool(pieces & {"newsletter", "signup", "login"}) and sentences < LONG // 2
+    if pieces & ANSWERS:
+        return controls > 0 or alike > 1 or not prose
+    return pieces & ELSEWHERE != frozenset() and (bool(pieces & OTHERS) or not prose)
 
 
 class Page:
@@ -74,7 +119,38 @@ class Page:
         self.tags: list[str] = ["body"]
         self.names: list[list[str]] = [[]]
         self.blocks: list[tuple[int, str, int]] = []  # container, text, characters inside links
+        self._suspects: list[list] = []  # pieces, tag, container around, suspect around, first block, block after the last, form controls
+        self._open: list[int] = []
+        self._controls = 0
         self._read(html)
+        self._judge()
+
+    def _judge(self) -> None:
+        """Leave out the blocks of suspect elements that turn out not to be of the article, inner ones first; sums over blocks are taken once."""
+        if not self._suspects:
+            return
+        text, linked, sentences = [0], [0], [0]
+        for _, t, n in self.blocks:
+            text.append(text[-1] + len(t))
+            linked.append(linked[-1] + min(n, len(t)))
+            sentences.append(sentences[-1] + (len(t) if SENTENCE_END.search(t[-8:]) and t.count(" ") >= 2 else 0))
+        like = Counter((around, tag, pieces) for pieces, tag, around, *_ in self._suspects)
+        edges, gone = [0] * (len(self.blocks) + 1), [[0, 0, 0, 0] for _ in self._suspects]
+        for k in range(len(self._suspects) - 1, -1, -1):  # what stands inside comes later
+            pieces, tag, around, outer, lo, hi, controls = self._suspects[k]
+            whole = [text[hi] - text[lo], linked[hi] - linked[lo], sentences[hi] - sentences[lo], controls]
+            out = any(unwanted(p, tag, *[w - g for w, g in zip(whole, gone[k], strict=True)], like[around, tag, pieces]) for p in pieces)
+            if out:
+                edges[lo] += 1
+                edges[hi] -= 1
+            if outer >= 0:
+                gone[outer] = [a + b for a, b in zip(gone[outer], whole if out else gone[k], strict=True)]
+        kept, depth = [], 0
+        for block, edge in zip(self.blocks, edges, strict=False):
+            depth += edge
+            if not depth:
+                kept.append(block)
+        self.blocks = kept
 
     @staticmethod
     def _path(around: str, tag: str, names: list[str]) -> str:
@@ -82,7 +158,7 @@ class Page:
         return f"{part}:{xxh64_hexdigest(around + '>' + part)}" if around else part
 
     def _read(self, html: str) -> None:
-        stack: list[tuple[str, int, bool, bool, bool]] = [("", 0, False, False, False)]  # tag, container, dropped, in a link, in an article
+        stack: list[tuple[str, int, bool, bool, bool, int]] = [("", 0, False, False, False, -1)]  # tag, container, dropped, in a link, in an article, suspect
         opened: Counter[str] = Counter()
         text: list[str] = []
         linked = 0
@@ -100,7 +176,12 @@ class Page:
             while len(stack) > depth:
                 if stack[-1][0] in BLOCK:
                     close_block()
-                opened[stack.pop()[0]] -= 1
+                gone = stack.pop()
+                opened[gone[0]] -= 1
+                if gone[5] >= 0:
+                    self._open.pop()
+                    suspect = self._suspects[gone[5]]
+                    suspect[5:] = [len(self.blocks), self._controls - suspect[6]]
 
         at, end, last = 0, len(html), html.rfind(">") + 1
         while at < end:
@@ -142,18 +223,31 @@ class Page:
                         if stack[i][0] in CONTAINER or stack[i][0] in ("ul", "ol", "dl", "table", "select"):
                             break
                 close_block()
-            _, around, dropped, link, inside = stack[-1]
+            _, around, dropped, link, inside, _ = stack[-1]
+            self._controls += tag in CONTROLS
             if tag in VOID:
                 text.append(" ")
                 continue
             if tag in RAW:
                 close = RAW_END[tag].search(html, at)
+                if tag == "xmp" and not dropped:  # its text stands as it is, without markup and references
+                    close_block()
+                    text.append(html[at : close.start() if close else end].replace("&", "&amp;"))
+                    close_block()
                 at = close.end() if close else end
                 continue
+            suspect = -1
             if not dropped:
-                names, noise, hidden = _names(m[3])
+                names, suspects, hidden = _names(m[3])
                 own = tag in ("article", "main") or tag == "header" and inside  # the article, and its heading part
-                dropped = tag in DROPPED or hidden or noise and not own and tag not in NAMED or tag == "header" and not inside
+                dropped = tag in DROPPED or hidden or tag == "header" and (not inside or any(p & SITE for p in suspects))
+                if suspects and not dropped and not own and tag not in NAMED:
+                    if tag in BLOCK:  # judged when the page has been read
+                        suspect = len(self._suspects)
+                        self._suspects.append([tuple(suspects), tag, around, self._open[-1] if self._open else -1, len(self.blocks), 0, self._controls])
+                        self._open.append(suspect)
+                    else:
+                        dropped = any(map(_whole, suspects))
                 if tag in CONTAINER and not dropped:
                     self.paths.append(self._path(self.paths[around], tag, names))
                     self.parents.append(around)
@@ -162,7 +256,7 @@ class Page:
                     around = len(self.paths) - 1
             if m[3].rstrip().endswith("/") and tag not in BLOCK:
                 continue
-            stack.append((tag, around, dropped, link or tag == "a", inside or tag in ("article", "main")))
+            stack.append((tag, around, dropped, link or tag == "a", inside or tag in ("article", "main"), suspect))
             opened[tag] += 1
         pop_to(1)
         close_block()

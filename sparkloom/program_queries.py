@@ -119,9 +119,9 @@ def loss_many(spark, sf_dir):
 def fitted_line(spark, sf_dir):
     """Slope and intercept of the mean price over each quantity, as constants of a program fitted to the least squared loss."""
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet").groupBy("l_quantity").agg(F.avg("l_extendedprice").alias("p"))
-    p = lines.select((F.col("l_quantity") / 10).alias("x"), (F.col("p") / 10000).alias("y")).coalesce(1)
+    p = lines.select(((F.col("l_quantity") - 25.5) / 15).alias("x"), (F.col("p") / 10000 - 5).alias("y")).coalesce(1)
     line = call("number_sum", call("number_mult", Input("slope", "float"), Input("x", "float")), Input("shift", "float"))
-    found = constants.fit_constants(p, line, {"slope": 0.0, "shift": 0.0}, "y", loss=lambda pred, truth: (pred - truth) * (pred - truth), generations=45, size=8, seed=1)
+    found = constants.fit_constants(p, line, {"slope": 0.0, "shift": 0.0}, "y", loss=lambda pred, truth: (pred - truth) * (pred - truth), generations=35, size=8, seed=1)
     return spark.createDataFrame([tuple(round(found.values[k], 3) + 0.0 for k in ("slope", "shift"))], "slope double, shift double")
 
 
@@ -148,5 +148,5 @@ ORACLE_SQL: dict[str, str] = {
     "loss_many": """select p_partkey, (levenshtein(p_name, p_type) + levenshtein(p_type, p_brand))::double as texts, (levenshtein(p_name, p_type) + 1000)::double as short,
         round(1 + case when p_size % 3 = 0 then 0 else abs(p_retailprice - p_retailprice / 2) end, 6) as numbers,
         round(abs(p_size % 5 - p_size % 3) * 1000 + p_size * (least(p_size % 5, p_size % 3) + 1) + 2 * abs(p_retailprice - p_size), 6)::double as lists from part""",
-    "fitted_line": "with p as (select l_quantity / 10 as x, avg(l_extendedprice) / 10000 as y from lineitem group by l_quantity) select round(regr_slope(y, x), 3) as slope, round(regr_intercept(y, x), 3) as shift from p",
+    "fitted_line": "with p as (select (l_quantity - 25.5) / 15 as x, avg(l_extendedprice) / 10000 - 5 as y from lineitem group by l_quantity) select round(regr_slope(y, x), 3) as slope, round(regr_intercept(y, x), 3) as shift from p",
 }

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -17,14 +18,40 @@ LETTERS = re.compile(r"[^\W\d_]+")
 UNDETERMINED = "und"
 #: Longest n-gram, weight of an unseen count, words that a verdict's score rests on, tokens a worker remembers.
 LONGEST, SMOOTH, TRUST, REMEMBERED = 5, 0.1, 10.0, 150_000
+#: Characters of unseen words whose n-grams are worked out at once.
+PIECE = 1 << 20
 #: Factor of the 64-bit hash of n-grams.
 FACTOR = 0x9E3779B97F4A7C15
 
 
 def grams(words: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
     """(word of each n-gram, its 64-bit hash) of the words with a space at both ends."""
-    sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-    codes = np.frombuffer("".join(f" {w} " for w in words).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
+    return _grams([f" {w} " for w in words], n)
+
+
+def _pieces(words: list[str], n: int) -> Iterator[tuple[np.ndarray, list[str]]]:
+    """(word of each piece, pieces) of the words with a space at both ends, of about PIECE characters at a time; a longer word is cut so that each n-gram lies in one piece."""
+    owners: list[int] = []
+    texts: list[str] = []
+    held = 0
+    for i, w in enumerate(words):
+        for at in range(0, max(len(w) + 3 - n, 1), PIECE):
+            # Places count the space before the word.
+            piece = w[max(at - 1, 0) : at + PIECE + n - 2]
+            piece = (" " if at == 0 else "") + piece + (" " if at + PIECE + n - 2 > len(w) else "")
+            owners.append(i)
+            texts.append(piece)
+            held += len(piece)
+            if held >= PIECE:
+                yield np.array(owners), texts
+                owners, texts, held = [], [], 0
+    if texts:
+        yield np.array(owners), texts
+
+
+def _grams(texts: list[str], n: int) -> tuple[np.ndarray, np.ndarray]:
+    words, sizes = texts, np.fromiter(map(len, texts), np.int64, len(texts))
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.uint64)
     each = np.maximum(sizes - n + 1, 0)
     owner = np.repeat(np.arange(len(words)), each)
     at = np.repeat(np.cumsum(sizes) - sizes - (np.cumsum(each) - each), each) + np.arange(len(owner))
@@ -88,14 +115,18 @@ class LanguageModel:
             keys, logs = self.keys[n - 1], self.gram_logs[n - 1]
             if not len(left) or not len(keys):
                 continue
-            owner, key = grams([words[i] for i in left.tolist()], n)
-            at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
-            hit = keys[at] == key
-            owner, at = owner[hit], at[hit]
-            n_hits = np.bincount(owner, minlength=len(left))
+            n_hits, sums = np.zeros(len(left), np.int64), np.zeros((len(self.languages), len(left)))
+            for owners, texts in _pieces([words[i] for i in left.tolist()], n):
+                owner, key = _grams(texts, n)
+                at = np.minimum(np.searchsorted(keys, key), len(keys) - 1)
+                hit = keys[at] == key
+                owner, at = owners[owner[hit]], at[hit]
+                n_hits += np.bincount(owner, minlength=len(left))
+                for k in range(len(self.languages)):
+                    sums[k] += np.bincount(owner, logs[at, k], len(left))
             some = n_hits > 0
             for k in range(len(self.languages)):
-                out[left[some], k] = np.bincount(owner, logs[at, k], len(left))[some] / n_hits[some]
+                out[left[some], k] = sums[k][some] / n_hits[some]
             left = left[~some]
         return out
 

@@ -199,6 +199,23 @@ def softmax_elites(pop: DataFrame, n: int, temperature: float = 1.0, fitness: st
     return pop.orderBy(F.desc(key), id_col).limit(n)
 
 
+def distribution_elite(pop: DataFrame, parent: object, temperature: float = 0.3, fitness: str = "fitness", id_col: str = "ind_id", seed: int = 0) -> DataFrame:
+    """One row, the next parent: the best member where one is as good as the parent, of equals the first; else one drawn by exp((f of the parent - f) / temperature).
+
+    The parent takes part in the draw, not in the comparison. Members without a finite fitness are never drawn; where
+    the parent has none, the best other member is taken.
+    """
+    f = worst_last(F.col(fitness))
+    others = pop.where(~F.col(id_col).eqNullSafe(F.lit(parent)))
+    best = others.agg(F.min_by(id_col, F.struct(f, id_col)).alias("id"), F.min(f).alias("f")).first()
+    own = pop.where(F.col(id_col).eqNullSafe(F.lit(parent))).agg(F.min(f)).first()[0]
+    own = float("inf") if own is None else own
+    if best["id"] is not None and best["f"] <= own:
+        return pop.where(F.col(id_col) == F.lit(best["id"])).limit(1)
+    weighed = pop.withColumn("__weight", F.exp(-(f - F.lit(own)) / temperature))
+    return sample_weighted(weighed, 1, "__weight", id_col, seed).drop("__weight", "draw")
+
+
 def oversampled(pop: DataFrame, n: int, id_col: str = "ind_id", seed: int = 0) -> DataFrame:
     """pop brought to n rows: every member n // size times, and some, by a seeded hash, once more; ``copy`` counts them."""
     size = pop.count()

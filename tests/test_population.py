@@ -78,6 +78,16 @@ def test_sampling(spark, pop):
     assert population.archive_sample(spark.createDataFrame([(i, i) for i in range(9)], "ind_id long, cell long"), 4).count() == 4
 
 
+def test_elite_by_distribution(spark):
+    pop = spark.createDataFrame([(1, 2.0), (2, 1.0), (3, 1.0), (4, 1.5), (5, float("nan")), (6, None)], "ind_id long, fitness double")
+    one = lambda df, parent, **how: population.distribution_elite(df, parent, **how).collect()[0]["ind_id"]
+    assert one(pop, 4) == 2 == one(pop, 3) and one(pop, 5) == 2
+    worse = pop.where("ind_id <> 2")
+    drawn = Counter(one(worse, 3, temperature=1.0, seed=k) for k in range(30))
+    assert set(drawn) <= {1, 3, 4} and len(drawn) > 1 and drawn[3] >= drawn[1]
+    assert one(worse, 3, temperature=1e-3) == 3 == one(pop.where("ind_id = 3"), 3)
+
+
 def test_tournaments_by_rank_and_room(spark):
     ranked = spark.createDataFrame([(1, 1, 0.5), (2, 1, float("inf")), (3, 2, float("inf"))], "ind_id long, rank int, crowding double")
     assert {r["ind_id"] for r in population.ranked_tournaments(ranked, 4, 3).collect()} == {2}

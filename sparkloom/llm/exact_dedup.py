@@ -24,15 +24,15 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     Rows that repeat id and text are one document: they count in group_size and are kept or dropped together.
     Empty table: empty result. Input columns named like an output column are replaced; others pass through.
     """
-    norm = ascii_lower(text_or_empty(text_col))
-    lengths = checkpoint(docs.groupBy(F.length(norm).alias("__n1")).agg(F.count("*").alias("rows")).where("rows > 1").select("__n1"))
+    raw, norm = text_or_empty(text_col), ascii_lower(text_or_empty(text_col))
+    lengths = checkpoint(docs.groupBy(F.length(raw).alias("__n1")).agg(F.count("*").alias("rows")).where("rows > 1").select("__n1"))
     few = lengths.count() * KEY_BYTES <= broadcast_bytes
-    prefix = F.substring(norm, 1, prefix_chars)
-    shared = docs.select(F.length(norm).alias("n"), prefix.alias("t")).join(F.broadcast(lengths) if few else lengths, F.col("n") == F.col("__n1"), "left_semi")
+    prefix = ascii_lower(F.substring(raw, 1, prefix_chars))
+    shared = docs.select(F.length(raw).alias("n"), prefix.alias("t")).join(F.broadcast(lengths) if few else lengths, F.col("n") == F.col("__n1"), "left_semi")
     counts = shared.groupBy("n", F.xxhash64("t").alias("p")).count()
     keys = checkpoint(counts.where("count > 1").select(F.col("n").alias("__n"), F.col("p").alias("__p"), F.lit(True).alias("__left")))
 
-    marked = docs.withColumn("__len", F.length(norm))
+    marked = docs.withColumn("__len", F.length(raw))
     if few:  # rows of a length of their own have no prefix hash, and so no key
         marked = marked.join(F.broadcast(lengths), F.col("__len") == F.col("__n1"), "left").withColumn("__pre", F.when(F.col("__n1").isNotNull(), F.xxhash64(prefix))).drop("__n1")
     else:

@@ -170,7 +170,18 @@ def plain(v):
     return round(v, 5) + 0.0 if isinstance(v, float) else v
 
 
-@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_the_query_without_sql(spark):
+    assert set(queries.QUERIES) - set(queries.ORACLE_SQL) == {"network_search"} and set(queries.ORACLE_SQL) <= set(queries.QUERIES)
+    rows = queries.QUERIES["network_search"](spark, SF).collect()
+    assert Counter(r["iteration"] for r in rows) == {1: 5, 2: 5, 3: 5} and Counter(r["iteration"] for r in rows if r["elite"]) == {1: 1, 2: 1, 3: 1}
+    for r in rows:
+        assert r["elite"] == 0 or r["fitness"] == min(x["fitness"] for x in rows if x["iteration"] == r["iteration"])
+    # Equal programs behave and lose alike.
+    for key in ("phenotype", "_to"):
+        assert len({(r[key], r["behavior"], r["fitness"]) for r in rows}) == len({r[key] for r in rows})
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLE_SQL))
 def test_query_against_sql(spark, name):
     con = duckdb.connect()
     for t in TABLES:

@@ -7,6 +7,7 @@ import random
 from collections.abc import Callable, Hashable, Sequence
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -122,34 +123,82 @@ def fit_map_elites(samples: DataFrame, truth: str, arch: Architecture, cell_of:
     return archive
 
 
-def fit_nsga2(samples: DataFrame, objectives: Sequence[tuple[str, Callable]], arch: Architecture, generations: int = 5, size: int = 8, tournament: int = 2, seed: int = 0, history: ObjectiveHistory | None = None) -> list[tuple[int, tuple[float, ...], Genome]]:
+#: Members up to which a population is ranked on the driver; a larger one is a table.
+SMALL = 1000
+
+
+def ranked_on_driver(values: dict[int, tuple[float, ...]]) -> list[tuple[int, int, float]]:
+    """(member, rank, crowding), as operators.population gives them, for a population of at most some thousands."""
+    ids = sorted(values)
+    points = np.array([values[i] for i in ids], float)
+    beaten = (points[:, None] <= points[None, :]).all(axis=2) & (points[:, None] < points[None, :]).any(axis=2)
+    ranks, left, rank = np.zeros(len(ids), int), np.ones(len(ids), bool), 0
+    while left.any():
+        rank += 1
+        front = left & ~beaten[left].any(axis=0)
+        ranks[front] = rank
+        left &= ~front
+    room = np.zeros(len(ids))
+    for r in range(1, rank + 1):
+        front = np.flatnonzero(ranks == r)
+        for k in range(points.shape[1]):
+            order = front[np.lexsort((front, points[front, k]))]
+            v = points[order, k]
+            width = v[-1] - v[0]
+            with np.errstate(invalid="ignore"):
+                gaps = np.concatenate([[np.inf], (v[2:] - v[:-2]) / width if width else np.zeros(max(len(v) - 2, 0)), [np.inf]])[: len(v)]
+            room[order] += gaps
+    return [(i, int(r), float(c)) for i, r, c in zip(ids, ranks, room, strict=True)]
+
+
+def fit_nsga2(samples: DataFrame, objectives: Sequence[tuple[str, Callable]], arch: Architecture, generations: int = 5, size: int = 8, tournament: int = 2, seed: int = 0, history: ObjectiveHistory | None = None, small: int = SMALL) -> list[tuple[int, tuple[float, ...], Genome]]:
     """NSGA-II over several losses, (column of the truth, loss) each: (rank, losses, genome) of the last population, best first.
 
-    Fronts, crowding, tournaments and survival are those of ``operators.population``, over tables of a row a member.
+    A population whose parents and children are at most ``small`` is ranked and drawn from on the driver; fronts, crowding,
+    tournaments and survival of a larger one are those of ``operators.population``, over tables of a row a member. Only
+    the members of the generation are kept. NULL and NaN losses count as infinite.
     """
     rng, scored, spark = random.Random(seed), samples.cache(), samples.sparkSession
     names = [f"o{k}" for k in range(len(objectives))]
     known: dict[int, tuple[tuple[float, ...], Genome]] = {}
+    born = 0
 
-    def add(genomes: list[Genome]) -> None:
+    def add(genomes: list[Genome]) -> list[int]:
+        nonlocal born
         programs = [decode(arch, g)[0] for g in genomes]
         found = [losses.score(scored, programs, truth, loss) for truth, loss in objectives]
-        for genome, values in zip(genomes, zip(*found, strict=True), strict=True):
-            known[len(known)] = (tuple(float("inf") if x is None or x != x else float(x) for x in values), genome)
-
-    def ranked(members: list[int]) -> DataFrame:
+        new = list(range(born, born + len(genomes)))
+        for i, genome, values in zip(new, genomes, zip(*found, strict=True), strict=True):
+            known[i] = (tuple(float("inf") if x is None or x != x else float(x) for x in values), genome)
+        born += len(genomes)
+        return new
+
+    def ranked(members: list[int]) -> list[tuple[int, int, float]] | DataFrame:
+        if 2 * size <= small:
+            return ranked_on_driver({m: known[m][0] for m in members})
         rows = spark.createDataFrame([(m, *known[m][0]) for m in members], ", ".join(["ind_id long", *[f"{n} double" for n in names]]))
         return population.crowding(population.pareto_ranks(rows, names), names)
 
-    add([random_genome(arch, rng) for _ in range(size)])
-    members = list(known)
+    def drawn(of: list | DataFrame, rounds: int, at: int) -> list[int]:
+        if isinstance(of, DataFrame):
+            return [r["ind_id"] for r in population.ranked_tournaments(of, rounds, tournament, seed=seed + at).orderBy("round").collect()]
+        best = lambda some: min(some, key=lambda m: (m[1], -m[2], m[0]))[0]
+        return [best(rng.sample(of, min(tournament, len(of)))) for _ in range(rounds)]
+
+    def kept(of: list | DataFrame) -> list[int]:
+        if isinstance(of, DataFrame):
+            return [r["ind_id"] for r in population.survivors(of, size).collect()]
+        return [m[0] for m in sorted(of, key=lambda m: (m[1], -m[2], m[0]))[:size]]
+
+    members = add([random_genome(arch, rng) for _ in range(size)])
     for generation in range(generations):
-        chosen = [r["ind_id"] for r in population.ranked_tournaments(ranked(members), 2 * size, tournament, seed=seed + generation).orderBy("round").collect()]
-        start = len(known)
-        add([mutate(arch, crossover(known[a][1], known[b][1], rng)[0], rng) for a, b in zip(chosen[::2], chosen[1::2], strict=True)])
-        members = [r["ind_id"] for r in population.survivors(ranked([*members, *range(start, len(known))]), size).collect()]
+        chosen = drawn(ranked(members), 2 * size, generation)
+        new = add([mutate(arch, crossover(known[a][1], known[b][1], rng)[0], rng) for a, b in zip(chosen[::2], chosen[1::2], strict=True)])
+        members = kept(ranked([*members, *new]))
+        known = {m: known[m] for m in members}
         if history is not None:
             history.add([known[m][0] for m in members])
-    last = ranked(members).orderBy("rank", "ind_id").collect()
+    last = ranked(members)
+    rows = [(r["ind_id"], r["rank"]) for r in last.orderBy("rank", "ind_id").collect()] if isinstance(last, DataFrame) else sorted(((m, r) for m, r, _ in last), key=lambda x: (x[1], x[0]))
     scored.unpersist()
-    return [(r["rank"], *known[r["ind_id"]]) for r in last]
+    return [(r, *known[m]) for m, r in rows]

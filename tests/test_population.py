@@ -113,10 +113,24 @@ def test_map_elites_keeps_the_best_of_each_cell(samples, arch):
 
 
 def test_nsga2_returns_fronts(samples, arch):
-    found = search.fit_nsga2(samples, [("y", losses.absolute), ("z", losses.absolute)], arch, generations=2, size=6, seed=2)
-    assert len(found) == 6 and [r for r, _, _ in found] == sorted(r for r, _, _ in found)
+    history = search.ObjectiveHistory()
+    found = search.fit_nsga2(samples, [("y", losses.absolute), ("z", losses.absolute)], arch, generations=3, size=6, seed=2, history=history)
+    assert len(found) == 6 and [r for r, _, _ in found] == sorted(r for r, _, _ in found) and len(history.best) == 3
     for rank, values, _ in found:
         assert (rank == 1) == (not any(dominates(other, values) for _, other, _ in found))
+    tables = search.fit_nsga2(samples, [("y", losses.absolute), ("z", losses.absolute)], arch, generations=1, size=4, seed=2, small=0)
+    assert len(tables) == 4 and all((r == 1) == (not any(dominates(o, v) for _, o, _ in tables)) for r, v, _ in tables)
+
+
+@pytest.mark.parametrize("n", [2, 3])
+def test_ranks_and_room_on_the_driver_are_those_of_tables(spark, n):
+    rng = random.Random(n)
+    values = {i: tuple(float(rng.randint(0, 6)) for _ in range(n)) for i in range(40)}
+    names = [f"o{k}" for k in range(n)]
+    rows = spark.createDataFrame([(i, *v) for i, v in values.items()], ", ".join(["ind_id long", *[f"{k} double" for k in names]]))
+    want = {r["ind_id"]: (r["rank"], r["crowding"]) for r in population.crowding(population.pareto_ranks(rows, names), names).collect()}
+    got = {m: (r, c) for m, r, c in search.ranked_on_driver(values)}
+    assert got.keys() == want.keys() and all(got[m][0] == want[m][0] and got[m][1] == pytest.approx(want[m][1]) for m in got)
 
 
 def test_hashes_of_programs(samples, arch):

@@ -331,10 +331,18 @@ def _window_sums(heights: pd.Series, widths: pd.Series, images: pd.Series, weigh
     return pd.Series([one(*row) for row in zip(heights, widths, images, weights, strict=True)], dtype=object)
 
 
+def dog_widths(*widths: Column) -> list[Column]:
+    return [F.greatest(F.lit(0.1), F.least(F.lit(10.0), s.cast("double"))) for s in widths]
+
+
+def moffat_shape(*numbers: Column) -> list[Column]:
+    return [F.greatest(F.lit(0.1), F.least(F.lit(100.0), x.cast("double"))) for x in numbers]
+
+
 @op("image number number", "image", defaults=(0.5, 0.5))
 def dog_image2D(a, s1, s2):
     """Difference of Gaussians of two widths, each held in 0.1..10."""
-    s1, s2 = (F.greatest(F.lit(0.1), F.least(F.lit(10.0), s.cast("double"))) for s in (s1, s2))
+    s1, s2 = dog_widths(s1, s2)
     wide = lambda s: _weighted(a, 4, lambda d: F.exp(-d / (2 * s * s)))
     return with_pixels(a, normalize(F.zip_with(wide(s1), wide(s2), lambda x, y: x - y)))
 
@@ -342,11 +350,13 @@ def dog_image2D(a, s1, s2):
 def _moffat(width: int) -> None:
     @op("image number number", "image", name=f"moffat{width}_image2D", defaults=(1.0, 1.0))
     def blur(a, alpha, beta):
-        alpha, beta = (F.greatest(F.lit(0.1), F.least(F.lit(100.0), x.cast("double"))) for x in (alpha, beta))
+        alpha, beta = moffat_shape(alpha, beta)
         return with_pixels(a, normalize(_weighted(a, width // 2, lambda d: F.pow(1 + d / (alpha * alpha), -beta))))
 
 
-for _width in (5, 13, 25):
+#: Widths of Moffat's blurs.
+MOFFAT = (5, 13, 25)
+for _width in MOFFAT:
     _moffat(_width)
 
 

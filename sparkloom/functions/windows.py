@@ -1,47 +1,26 @@
 """Windows over pixels for programs: the window operators of ``images`` in numpy passes over Arrow batches.
 
 A program writes these operators by the ones here (``lower``), which take all images of one shape and parameter in a
-batch at once: derivatives, blurs and morphology by shifted sums and extremes, blurs as two passes along lines; the
-co-occurrences of an image are counted once for all ten properties and five summaries, a region is cut once for all its
+batch at once, piece by piece: derivatives, blurs and morphology by shifted sums and extremes, Gaussian blurs as two
+passes along lines; the co-occurrences of an image are counted once for all ten properties and five summaries, a region is cut once for all its
 numbers. As single columns, outside programs, the operators stay expressions, which nest in lambdas. Both give the same.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable
 from dataclasses import replace
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType
 
 from ..registry import REGISTRY, op
 from . import images
-
-#: Pixels, or counted pairs of levels, that are worked on at once.
-CELLS = 4_000_000
-
-
-def _groups(pixels: pd.Series, *keys: pd.Series) -> Iterator[tuple[tuple, list[int]]]:
-    """The rows of a batch by equal keys; rows without an image or a key are left out."""
-    found: dict[tuple, list[int]] = {}
-    for k, (p, *key) in enumerate(zip(pixels, *keys, strict=True)):
-        if p is not None and len(p) and not any(x is None or x != x for x in key):
-            found.setdefault(tuple(key), []).append(k)
-    for key, rows in found.items():
-        step = max(1, CELLS // max(len(pixels.iloc[rows[0]]), 1))
-        for lo in range(0, len(rows), step):
-            yield key, rows[lo : lo + step]
-
-
-def _stack(pixels: pd.Series, rows: list[int], h: int, w: int) -> np.ndarray:
-    """(image, column, row): pixels stand column by column."""
-    return np.stack([np.asarray(pixels.iloc[k], float) for k in rows]).reshape(len(rows), int(w), int(h))
-
-
-def _out(values: dict[int, np.ndarray], n: int) -> pd.Series:
-    return pd.Series([values.get(k) for k in range(n)], dtype=object)
+from .batches import CELLS, Lists, like, pieces, rows_of
 
 
 def _places(n: int, reach: int, mode: float) -> np.ndarray:
@@ -90,12 +69,34 @@ def _filters() -> dict[str, Callable[[np.ndarray, float], np.ndarray]]:
 FILTERS = _filters()
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _filtered(pixels: pd.Series, h: pd.Series, w: pd.Series, mode: pd.Series, name: pd.Series) -> pd.Series:
-    made: dict[int, np.ndarray] = {}
-    for (height, width, border, which), rows in _groups(pixels, h, w, np.sign(mode), name):
-        made |= zip(rows, normalized(FILTERS[which](_stack(pixels, rows, height, width), border)).reshape(len(rows), -1), strict=True)
-    return _out(made, len(pixels))
+@F.arrow_udf(ArrayType(DoubleType()))
+def _filtered(pixels: pa.Array, h: pa.Array, w: pa.Array, mode: pa.Array, name: pa.Array) -> pa.Array:
+    held = Lists(pixels)
+    return like(held, ((rows, normalized(FILTERS[which](held.grids(rows, height, width), border))) for (height, width, border, which), rows in pieces(held, h, w, pc.sign(mode), name)))
+
+
+def _square(half: int, weight: Callable[[float], float]) -> list[tuple[int, int, float]]:
+    """Weights by the squared distance, which add up to 1."""
+    near = [(r, c, weight(r * r + c * c)) for c in range(-half, half + 1) for r in range(-half, half + 1)]
+    total = sum(v for _, _, v in near)
+    return [(r, c, v / total) for r, c, v in near]
+
+
+def dog(grids: np.ndarray, s1: float, s2: float) -> np.ndarray:
+    wide = lambda s: correlate(grids, _square(4, lambda d: math.exp(-d / (2 * s * s))), 0)
+    return wide(s1) - wide(s2)
+
+
+def moffat(grids: np.ndarray, alpha: float, beta: float, half: int) -> np.ndarray:
+    return correlate(grids, _square(half, lambda d: (1 + d / (alpha * alpha)) ** -beta), 0)
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _weighed(pixels: pa.Array, h: pa.Array, w: pa.Array, a: pa.Array, b: pa.Array, width: pa.Array) -> pa.Array:
+    """Moffat's blur in a square of a width; the difference of Gaussians if that is 0."""
+    held = Lists(pixels)
+    made = lambda g, x, y, n: moffat(g, x, y, n // 2) if n else dog(g, x, y)
+    return like(held, ((rows, normalized(made(held.grids(rows, height, width), x, y, n))) for (height, width, x, y, n), rows in pieces(held, h, w, a, b, width)))
 
 
 def _diamond(grids: np.ndarray, half: int, pick: np.ufunc, beyond: float) -> np.ndarray:
@@ -127,12 +128,10 @@ MORPHOLOGY = {
 }
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _shaped(pixels: pd.Series, h: pd.Series, w: pd.Series, side: pd.Series, name: pd.Series) -> pd.Series:
-    made: dict[int, np.ndarray] = {}
-    for (height, width, k, which), rows in _groups(pixels, h, w, side, name):
-        made |= zip(rows, MORPHOLOGY[which](_stack(pixels, rows, height, width), int(k) // 2).reshape(len(rows), -1), strict=True)
-    return _out(made, len(pixels))
+@F.arrow_udf(ArrayType(DoubleType()))
+def _shaped(pixels: pa.Array, h: pa.Array, w: pa.Array, side: pa.Array, name: pa.Array) -> pa.Array:
+    held = Lists(pixels)
+    return like(held, ((rows, MORPHOLOGY[which](held.grids(rows, height, width), int(k) // 2)) for (height, width, k, which), rows in pieces(held, h, w, side, name)))
 
 
 # ---- co-occurrence
@@ -183,23 +182,25 @@ def _summaries(v: np.ndarray) -> np.ndarray:
     return np.stack([v.mean(axis=1), v.sum(axis=1), v.std(axis=1, ddof=1), least, most], axis=2)
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _glcm_measured(pixels: pd.Series, h: pd.Series, w: pd.Series, distance: pd.Series, levels: pd.Series) -> pd.Series:
-    made: dict[int, np.ndarray] = {}
-    colours = pd.Series([0 if p is None else len(np.unique(p)) for p in pixels])
+@F.arrow_udf(ArrayType(DoubleType()))
+def _glcm_measured(pixels: pa.Array, h: pa.Array, w: pa.Array, distance: pa.Array, levels: pa.Array) -> pa.Array:
+    held = Lists(pixels)
+    colours = np.array([0 if p is None else len(np.unique(p)) for p in held])
     # At least five levels, or as many as there are colours.
-    n = np.maximum(np.minimum(5, colours), np.minimum(255, levels))
-    for (height, width, d, count), rows in _groups(pixels, h, w, distance, n):
-        count = int(count)
-        step = max(1, CELLS // (count * count))
-        for lo in range(0, len(rows), step):
-            some = rows[lo : lo + step]
-            grids = _stack(pixels, some, height, width)
-            low, high = grids.min(axis=(1, 2), keepdims=True), grids.max(axis=(1, 2), keepdims=True)
-            share = np.divide(grids - low, high - low, out=np.zeros_like(grids), where=high > low)
-            found = _summaries(glcm(np.minimum(count - 1, np.floor(share * count)).astype(np.int64), count, int(d)))
-            made |= zip(some, found.reshape(len(some), -1), strict=True)
-    return _out(made, len(pixels))
+    n = np.maximum(np.minimum(5, colours), np.minimum(255, levels.to_numpy(zero_copy_only=False).astype(float)))
+
+    def found():
+        for (height, width, d, count), rows in pieces(held, h, w, distance, pa.array(n)):
+            count = int(count)
+            step = max(1, CELLS // (count * count))
+            for lo in range(0, len(rows), step):
+                some = rows[lo : lo + step]
+                grids = held.grids(some, height, width)
+                low, high = grids.min(axis=(1, 2), keepdims=True), grids.max(axis=(1, 2), keepdims=True)
+                share = np.divide(grids - low, high - low, out=np.zeros_like(grids), where=high > low)
+                yield some, _summaries(glcm(np.minimum(count - 1, np.floor(share * count)).astype(np.int64), count, int(d))).reshape(len(some), -1)
+
+    return rows_of(len(held), len(GLCM_NAMES), found())
 
 
 # ---- regions
@@ -219,16 +220,19 @@ def region(grid: np.ndarray, r: int, c: int, half: int) -> list[float]:
     return [mean, v.std(ddof=1) if len(v) > 1 else np.nan, lo, hi, total, float(np.median(v)), hi - lo, (v * v).mean(), -(p * np.log2(p)).sum(), mean - ring]
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _regions_measured(pixels: pd.Series, h: pd.Series, w: pd.Series, column: pd.Series, row: pd.Series, halves: pd.Series) -> pd.Series:
-    made: dict[int, np.ndarray] = {}
-    for k, (p, height, width, c, r, n) in enumerate(zip(pixels, h, w, column, row, halves, strict=True)):
-        if p is not None and len(p) and n is not None and c == c and r == r:
-            grid, known = np.asarray(p, float).reshape(int(width), int(height)), {}
-            for half in n:
-                known.setdefault(half, region(grid, int(r), int(c), int(half)))
-            made[k] = np.concatenate([known[half] for half in n])
-    return _out(made, len(pixels))
+@F.arrow_udf(ArrayType(DoubleType()))
+def _regions_measured(pixels: pa.Array, h: pa.Array, w: pa.Array, column: pa.Array, row: pa.Array, halves: pa.Array) -> pa.Array:
+    held = Lists(pixels)
+
+    def found():
+        for k, (p, height, width, c, r, n) in enumerate(zip(held, *(x.to_pylist() for x in (h, w, column, row)), Lists(halves), strict=True)):
+            if p is not None and len(p) and n is not None and None not in (c, r) and c == c and r == r:
+                grid, known = p.reshape(width, height), {}
+                for half in n:
+                    known.setdefault(half, region(grid, int(r), int(c), int(half)))
+                yield [k], [np.concatenate([known[half] for half in n])]
+
+    return rows_of(len(held), len(REGION_NAMES), found())
 
 
 # ---- the operators
@@ -246,6 +250,20 @@ def window_morphology(a, k, name):
     return images.with_pixels(a, _shaped.asNondeterministic()(a["pixels"], a["h"], a["w"], images._odd(k).cast("double"), name))
 
 
+@op("image number number", "image", family="image_windows")
+def window_dog(a, s1, s2):
+    """dog_image2D."""
+    s1, s2 = images.dog_widths(s1, s2)
+    return images.with_pixels(a, _weighed.asNondeterministic()(a["pixels"], a["h"], a["w"], s1, s2, F.lit(0)))
+
+
+@op("image number number int", "image", family="image_windows")
+def window_moffat(a, alpha, beta, width):
+    """A blur of MOFFAT."""
+    alpha, beta = images.moffat_shape(alpha, beta)
+    return images.with_pixels(a, _weighed.asNondeterministic()(a["pixels"], a["h"], a["w"], alpha, beta, width.cast("int")))
+
+
 @op("image number number", "list<float>", family="image_windows")
 def glcm_measures(a, distance, levels):
     """All of GLCM_NAMES."""
@@ -285,6 +303,9 @@ def register() -> None:
         _lower(n, lambda args, n=n: Call("window_filter", (*args, Constant(n, "string")), "image"))
     for n in MORPHOLOGY:
         _lower(n, lambda args, n=n: Call("window_morphology", (*args, Constant(n, "string")), "image"))
+    _lower("dog_image2D", lambda args: Call("window_dog", tuple(args), "image"))
+    for width in images.MOFFAT:
+        _lower(f"moffat{width}_image2D", lambda args, width=width: Call("window_moffat", (*args, Constant(width, "int")), "image"))
     for k, n in enumerate(GLCM_NAMES):
         _lower(n, lambda args, k=k: Call("measure_at", (Call("glcm_measures", tuple(args), "list<float>"), Constant(k, "int"), Constant(-1.0, "float")), "float"))
     for k, n in enumerate(REGION_NAMES):

@@ -9,15 +9,16 @@ Histogram methods part the bins in a lower and an upper class; a pixel is 1 from
 from __future__ import annotations
 
 import heapq
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ..registry import op
+from .batches import Lists, like, pieces
 from .images import image
 
 TINY = 1e-12
@@ -169,9 +170,9 @@ def _histogram_op(name: str, cut: Callable[[np.ndarray], int]) -> None:
         n, edges = np.histogram(p, int(bins))
         return float(edges[cut(n)])
 
-    @F.pandas_udf(DoubleType())
-    def thresholds(pixels: pd.Series, bins: pd.Series) -> pd.Series:
-        return pd.Series([threshold(p, b) for p, b in zip(pixels, bins, strict=True)], dtype="float64")
+    @F.arrow_udf(DoubleType())
+    def thresholds(pixels: pa.Array, bins: pa.Array) -> pa.Array:
+        return pa.array([threshold(p, b) for p, b in zip(Lists(pixels), bins.to_pylist(), strict=True)], pa.float64(), from_pandas=True)
 
     @op("image number", "image", name=name, defaults=(256,))
     def build(a, bins):
@@ -196,9 +197,9 @@ def _halves(values) -> float | None:
     return float(-best[1] / (2 * best[0])) if abs(best[0]) > TINY else float(p.mean())
 
 
-@F.pandas_udf(DoubleType())
-def _polysegment(pixels: pd.Series) -> pd.Series:
-    return pd.Series([_halves(p) for p in pixels], dtype="float64")
+@F.arrow_udf(DoubleType())
+def _polysegment(pixels: pa.Array) -> pa.Array:
+    return pa.array([_halves(p) for p in Lists(pixels)], pa.float64(), from_pandas=True)
 
 
 @op("image", "image")
@@ -227,27 +228,35 @@ def by_level(a, t):
 # ---- local windows
 
 
-def _window_means(values, h: int, w: int, reach: int) -> list[dict] | None:
-    """Means of the pixels and of their squares in the window around each pixel, from running sums."""
-    if _empty(values):
-        return None
-    p = _pixels(values).reshape(int(w), int(h))
-    rows, cols = np.arange(p.shape[0]), np.arange(p.shape[1])
+def _window_means(p: np.ndarray, reach: int) -> tuple[np.ndarray, np.ndarray]:
+    """Means of the pixels and of their squares in the window around each pixel of (image, column, row), from running sums."""
+    rows, cols = np.arange(p.shape[1]), np.arange(p.shape[2])
     r0, r1 = np.maximum(rows - reach, 0)[:, None], np.minimum(rows + reach + 1, len(rows))[:, None]
     c0, c1 = np.maximum(cols - reach, 0)[None], np.minimum(cols + reach + 1, len(cols))[None]
     means = []
     for q in (p, p * p):
-        sums = np.pad(q.cumsum(0).cumsum(1), ((1, 0), (1, 0)))
-        means.append(((sums[r1, c1] - sums[r0, c1] - sums[r1, c0] + sums[r0, c0]) / ((r1 - r0) * (c1 - c0))).reshape(-1).tolist())
-    return [{"mean": m, "square": q} for m, q in zip(*means, strict=True)]
+        sums = np.pad(q.cumsum(1).cumsum(2), ((0, 0), (1, 0), (1, 0)))
+        means.append((sums[:, r1, c1] - sums[:, r0, c1] - sums[:, r1, c0] + sums[:, r0, c0]) / ((r1 - r0) * (c1 - c0)))
+    return means[0], means[1]
 
 
 _MEANS = ArrayType(StructType([StructField("mean", DoubleType()), StructField("square", DoubleType())]))
 
 
-@F.pandas_udf(_MEANS)
-def _local(pixels: pd.Series, h: pd.Series, w: pd.Series, reach: pd.Series) -> pd.Series:
-    return pd.Series([_window_means(*x) for x in zip(pixels, h, w, reach, strict=True)], dtype=object)
+@F.arrow_udf(_MEANS)
+def _local(pixels: pa.Array, h: pa.Array, w: pa.Array, reach: pa.Array) -> pa.Array:
+    held = Lists(pixels)
+    squares = np.zeros(int(held.sizes[held.valid].sum()))
+    ends = np.cumsum(np.where(held.valid, held.sizes, 0))
+
+    def found():
+        for (height, width, n), rows in pieces(held, h, w, reach):
+            mean, square = _window_means(_pixels(held.grids(rows, height, width)), n)
+            squares[(ends[rows] - held.sizes[rows])[:, None] + np.arange(height * width)] = square.reshape(len(rows), -1)
+            yield rows, mean
+
+    means = like(held, found())
+    return pa.ListArray.from_arrays(means.offsets, pa.StructArray.from_arrays([means.values, pa.array(squares)], ["mean", "square"]), mask=means.is_null())
 
 
 def _by_window(a: Column, reach: Column, threshold: Callable[[Column, Column], Column]) -> Column:
@@ -352,14 +361,20 @@ def flood(values, mask, h: int, w: int, th: float) -> list[float] | None:
     return np.where(inside, label, 0).astype(float).tolist()
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _grown(pixels: pd.Series, h: pd.Series, w: pd.Series, th: pd.Series) -> pd.Series:
-    return pd.Series([grow(*x) for x in zip(pixels, h, w, th, strict=True)], dtype=object)
+def _segments(pixels: Lists, labels: Iterator[list[float] | None]) -> pa.Array:
+    return like(pixels, (([k], np.array(v)) for k, v in enumerate(labels) if v is not None))
+
+
+@F.arrow_udf(ArrayType(DoubleType()))
+def _grown(pixels: pa.Array, h: pa.Array, w: pa.Array, th: pa.Array) -> pa.Array:
+    held = Lists(pixels)
+    return _segments(held, map(grow, held, *(x.to_pylist() for x in (h, w, th))))
 
 
-@F.pandas_udf(ArrayType(DoubleType()))
-def _flooded(pixels: pd.Series, mask: pd.Series, h: pd.Series, w: pd.Series, th: pd.Series) -> pd.Series:
-    return pd.Series([flood(*x) for x in zip(pixels, mask, h, w, th, strict=True)], dtype=object)
+@F.arrow_udf(ArrayType(DoubleType()))
+def _flooded(pixels: pa.Array, mask: pa.Array, h: pa.Array, w: pa.Array, th: pa.Array) -> pa.Array:
+    held = Lists(pixels)
+    return _segments(held, map(flood, held, Lists(mask), *(x.to_pylist() for x in (h, w, th))))
 
 
 @op("image number", "image", defaults=(0.1,))

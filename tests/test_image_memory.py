@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.util import PythonEvalType
 
-from sparkloom.functions import windows
+from sparkloom.functions import binarize, windows
 
 ROWS, SIDE = 10_000, 8
 MB = 1 << 20
@@ -34,7 +34,7 @@ def extra(n, *values):
     return [pa.array([v] * n) for v in values]
 
 
-CASES = [("derivatives", windows._filtered, (0.0, "ando5m_image2D")), ("cooccurrences", windows._glcm_measured, (1.0, 16.0))]
+CASES = [("derivatives", windows._filtered, (0.0, "ando5m_image2D")), ("binary", binarize._local, (5,)), ("cooccurrences", windows._glcm_measured, (1.0, 16.0))]
 
 
 @pytest.mark.parametrize("name, udf, args", CASES, ids=[c[0] for c in CASES])

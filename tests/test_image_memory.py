@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 from pyspark.util import PythonEvalType
 
-from sparkloom.functions import binarize, windows
+from sparkloom.functions import binarize, images, windows
 
 ROWS, SIDE = 10_000, 8
 MB = 1 << 20
@@ -34,7 +34,7 @@ def extra(n, *values):
     return [pa.array([v] * n) for v in values]
 
 
-CASES = [("derivatives", windows._filtered, (0.0, "ando5m_image2D")), ("binary", binarize._local, (5,)), ("cooccurrences", windows._glcm_measured, (1.0, 16.0))]
+CASES = [("derivatives", windows._filtered, (0.0, "ando5m_image2D")), ("smoothing", windows._filtered, (0.0, "gaussian25_image2D")), ("binary", binarize._local, (5,)), ("cooccurrences", windows._glcm_measured, (1.0, 16.0))]
 
 
 @pytest.mark.parametrize("name, udf, args", CASES, ids=[c[0] for c in CASES])
@@ -58,3 +58,14 @@ def test_pieces(name, udf, args):
         assert (alone is None) == (together[k] is None) == (not rows[k])
         if alone:
             np.testing.assert_allclose([list(x.values()) if isinstance(x, dict) else x for x in together[k]], [list(x.values()) if isinstance(x, dict) else x for x in alone], atol=1e-12)
+
+
+def test_weights_by_distance():
+    """Moffat's blur and the difference of Gaussians against the sums of the single columns."""
+    p = np.random.default_rng(9).random((3, 7, 6))
+    for width in images.MOFFAT:
+        d = np.add.outer((np.arange(width) - width // 2) ** 2, (np.arange(width) - width // 2) ** 2)
+        weight = (1 + d / 4.0) ** -1.5
+        grid = np.pad(p, ((0, 0), (width // 2,) * 2, (width // 2,) * 2), mode="edge")
+        near = np.lib.stride_tricks.sliding_window_view(grid, (width, width), axis=(1, 2))
+        np.testing.assert_allclose(windows.moffat(p, 2.0, 1.5, width // 2), np.einsum("bijkl,kl->bij", near, weight) / weight.sum(), atol=1e-12)

@@ -34,7 +34,7 @@ def extra(n, *values):
     return [pa.array([v] * n) for v in values]
 
 
-CASES = [("derivatives", windows._filtered, (0.0, "ando5m_image2D")), ("smoothing", windows._filtered, (0.0, "gaussian25_image2D")), ("binary", binarize._local, (5,)), ("cooccurrences", windows._glcm_measured, (1.0, 16.0))]
+CASES = [("derivatives", windows._filtered, (0.0, "ando5m_image2D")), ("smoothing", windows._filtered, (0.0, "gaussian25_image2D")), ("morphology", windows._shaped, (3.0, "opening_2D")), ("binary", binarize._local, (5,)), ("cooccurrences", windows._glcm_measured, (1.0, 16.0))]
 
 
 @pytest.mark.parametrize("name, udf, args", CASES, ids=[c[0] for c in CASES])

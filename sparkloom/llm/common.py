@@ -114,4 +114,5 @@ def words_of(texts: pa.Array, wide: bool = False):
         mask = keep.to_numpy(zero_copy_only=False)
         rows, flat = rows[mask], flat.filter(keep)
     coded = flat.dictionary_encode()
-    return rows, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_pylist()
+    # By way of numpy: to_pylist makes a scalar object of each word first.
+    return rows, coded.indices.to_numpy(zero_copy_only=False), coded.dictionary.to_numpy(zero_copy_only=False).tolist()

@@ -20,7 +20,7 @@ from . import range_coder
 from .common import remembered, slices, words_of
 
 #: Ids from which on a frame is closed; words and characters of words that a worker remembers; bytes of texts that are tokenised at once.
-FRAME_IDS, REMEMBERED, REMEMBERED_BYTES, TEXT_BYTES = 1_200_000, 200_000, 1 << 23, 4 << 20
+FRAME_IDS, REMEMBERED, REMEMBERED_BYTES, TEXT_BYTES = 1_200_000, 400_000, 1 << 23, 4 << 20
 #: Bytes of texts whose capitals stay: special tokens, and the first bytes of U+0300 to U+037F, combining marks that are or become parts of letters.
 AS_IS = (b"<|", b"\xcc", b"\xcd")
 #: The parts of a tokenizer's file that allow for tokenising word by word: white space falls out, nothing is joined across it.

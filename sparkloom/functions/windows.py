@@ -32,13 +32,16 @@ def _places(n: int, reach: int, mode: float) -> np.ndarray:
 
 
 def correlate(grids: np.ndarray, kernel: list[tuple[int, int, float]], mode: float) -> np.ndarray:
-    """Sum over (row offset, column offset, weight) of the shifted images."""
+    """Sum over (row offset, column offset, weight) of the shifted images; about CELLS pixels at once, what is added around the images counted in."""
     _, w, h = grids.shape
-    reach = max(max(abs(r), abs(c)) for r, c, _ in kernel)
-    wide = grids[:, _places(w, reach, mode)][:, :, _places(h, reach, mode)]
+    down, across = max(abs(r) for r, _, _ in kernel), max(abs(c) for _, c, _ in kernel)
+    columns, rows = _places(w, across, mode)[:, None], _places(h, down, mode)
     total = np.zeros_like(grids)
-    for r, c, v in kernel:
-        total += v * wide[:, reach + c : reach + c + w, reach + r : reach + r + h]
+    step = max(1, CELLS // (columns.size * rows.size))
+    for lo in range(0, len(grids), step):
+        wide, some = grids[lo : lo + step, columns, rows], total[lo : lo + step]
+        for r, c, v in kernel:
+            some += v * wide[:, across + c : across + c + w, down + r : down + r + h]
     return total
 
 

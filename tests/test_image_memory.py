@@ -69,3 +69,16 @@ def test_weights_by_distance():
         grid = np.pad(p, ((0, 0), (width // 2,) * 2, (width // 2,) * 2), mode="edge")
         near = np.lib.stride_tricks.sliding_window_view(grid, (width, width), axis=(1, 2))
         np.testing.assert_allclose(windows.moffat(p, 2.0, 1.5, width // 2), np.einsum("bijkl,kl->bij", near, weight) / weight.sum(), atol=1e-12)
+
+
+@pytest.mark.parametrize("half", [2, 12])
+def test_wide_blurs(half):
+    """Small images beneath a wide kernel: what is added around them, 16 times their pixels, isn't held for all of a piece."""
+    grids, kernel = np.random.default_rng(11).random((1024, SIDE, SIDE)), windows._square(half, lambda d: 1 / (1 + d))
+    tracemalloc.start()
+    made = windows.correlate(grids, kernel, 0)
+    peak = tracemalloc.get_traced_memory()[1] / MB
+    tracemalloc.stop()
+    alone = np.concatenate([windows.correlate(grids[k : k + 1], kernel, 0) for k in (0, 500, 1023)])
+    # The images are 0.5 MB.
+    assert peak < 2 and (made[[0, 500, 1023]] == alone).all(), peak

@@ -103,12 +103,15 @@ def _weighed(pixels: pa.Array, h: pa.Array, w: pa.Array, a: pa.Array, b: pa.Arra
 
 
 def _diamond(grids: np.ndarray, half: int, pick: np.ufunc, beyond: float) -> np.ndarray:
+    """Least or greatest of the diamond around each pixel; about CELLS pixels at once, what is added around the images counted in."""
     _, w, h = grids.shape
-    wide = np.pad(grids, ((0, 0), (half, half), (half, half)), constant_values=beyond)
-    best = grids
-    for c in range(-half, half + 1):
-        for r in range(abs(c) - half, half - abs(c) + 1):
-            best = pick(best, wide[:, half + c : half + c + w, half + r : half + r + h])
+    best = grids.copy()
+    step = max(1, CELLS // ((w + 2 * half) * (h + 2 * half)))
+    for lo in range(0, len(grids), step):
+        wide, some = np.pad(grids[lo : lo + step], ((0, 0), (half, half), (half, half)), constant_values=beyond), best[lo : lo + step]
+        for c in range(-half, half + 1):
+            for r in range(abs(c) - half, half - abs(c) + 1):
+                pick(some, wide[:, half + c : half + c + w, half + r : half + r + h], out=some)
     return best
 
 

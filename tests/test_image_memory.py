@@ -82,3 +82,18 @@ def test_wide_blurs(half):
     alone = np.concatenate([windows.correlate(grids[k : k + 1], kernel, 0) for k in (0, 500, 1023)])
     # The images are 0.5 MB.
     assert peak < 2 and (made[[0, 500, 1023]] == alone).all(), peak
+
+
+@pytest.mark.parametrize("half", [2, 6])
+def test_wide_diamonds(half):
+    """As test_wide_blurs, for diamonds; against the least of all pixels so near."""
+    grids = np.random.default_rng(13).random((1024, SIDE, SIDE))
+    tracemalloc.start()
+    made = windows.erode(grids, half)
+    peak = tracemalloc.get_traced_memory()[1] / MB
+    tracemalloc.stop()
+    at = np.indices((SIDE, SIDE)).reshape(2, -1)
+    near = np.abs(at[:, :, None] - at[:, None]).sum(axis=0) <= half
+    for k in (0, 500, 1023):
+        assert (made[k].ravel() == np.where(near, grids[k].ravel(), np.inf).min(axis=1)).all()
+    assert peak < 1.8, peak

@@ -18,6 +18,10 @@ TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 STEP = 3922
 #: Documents and bytes of text in a block; items, and cells of the matrix of items and terms, in a pass over the index.
 BLOCK_DOCS, BLOCK_BYTES, PASS_ITEMS, PASS_CELLS = 1024, 8 << 20, 256, 4_000_000
+#: Cells of a block's terms and documents that are scored at once.
+BLOCK_CELLS = 1 << 20
+#: Parquet's reader holds the rows of a row group at once, up to 4096, and its writer looks at their size every 100 rows only.
+ROW_GROUPS = {"parquet.block.row.count.limit": "1"}
 
 POSTINGS = "doc_ids array<long>, lengths array<long>, terms array<string>, counts array<int>, docs binary, tfs binary"
 INDEX = f"{POSTINGS}, impacts binary"
@@ -94,7 +98,8 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
 
     The first pass tokenises whole texts and writes the exact level: for each term of a block its documents and their
     counts. Sums over it give the number of documents and terms; the second pass adds the first level, a byte for each
-    posting, its impact by these sums, rounded upwards. No text and no posting is shuffled.
+    posting, its impact by these sums, rounded upwards. No text and no posting is shuffled. A block is a row group of its
+    own, so a task that reads the index holds a block or two at a time, however large its file is.
 
     Nulls: a null text has no terms, a null id is kept. Repeated rows are documents of their own. A text longer than a
     block is counted in pieces cut between terms. Empty table: empty index. Other columns are not read.
@@ -112,7 +117,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                     yield pa.RecordBatch.from_arrays([pa.array([made[k]], kind) for k, kind in _ARROW], schema=pa.schema(_ARROW))
 
     exact = shared_path(spark, "postings")
-    docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(blocks, POSTINGS).write.parquet(exact)
+    docs.select(F.col(id_col).cast("long"), F.col(text_col)).mapInArrow(blocks, POSTINGS).write.options(**ROW_GROUPS).parquet(exact)
     blocks_of = spark.read.schema(POSTINGS).parquet(exact)
     n_docs, n_terms = sums(blocks_of)
 
@@ -124,7 +129,7 @@ def build_index(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: st
                 found = _parts(np.frombuffer(row.column(5)[0].as_py(), "<i4"), norms[np.frombuffer(row.column(4)[0].as_py(), "<u2")])
                 yield pa.RecordBatch.from_arrays([*row.columns, pa.array([(-(-found // STEP)).astype(np.uint8).tobytes()], pa.binary())], names=[*row.schema.names, "impacts"])
 
-    blocks_of.mapInArrow(impacts, INDEX).write.parquet(path)
+    blocks_of.mapInArrow(impacts, INDEX).write.options(**ROW_GROUPS).parquet(path)
 
 
 def sums(blocks: DataFrame) -> tuple[int, int]:
@@ -187,10 +192,22 @@ class Query:
         places = np.arange(some.sum()) + np.repeat(starts[asked] - (np.cumsum(some) - some), some)
         row, docs = np.repeat(np.arange(len(asked)), some), np.frombuffer(block["docs"].as_py(), "<u2")[places]
         lengths = block["lengths"].values.to_numpy()
-        bytes_ = np.zeros((len(asked), len(lengths)))
-        bytes_[row, docs] = np.frombuffer(block["impacts"].as_py(), np.uint8)[places]
-        upper = weights @ (bytes_ * STEP)
-        lower = upper - weights @ ((bytes_ > 0) * (STEP - 1.0))
+        impacts = np.frombuffer(block["impacts"].as_py(), np.uint8)[places]
+        step = max(1, BLOCK_CELLS // len(lengths))
+
+        def pieces(values: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            """A few terms at a time: the items' weights for them, and their values by document."""
+            for lo in range(0, len(asked), step):
+                a, b = np.searchsorted(row, (lo, lo + step))
+                cells = np.zeros((min(step, len(asked) - lo), len(lengths)), np.int64)
+                cells[row[a:b] - lo, docs[a:b]] = values[a:b]
+                yield weights[:, lo : lo + step], cells
+
+        upper, lower = np.zeros((2, len(weights), len(lengths)))
+        for w, cells in pieces(impacts):
+            upper += w @ (cells * float(STEP))
+            lower -= w @ ((cells > 0) * (STEP - 1.0))
+        lower += upper
         if lower.shape[1] > self.k:
             here = np.partition(lower, -self.k, axis=1)[:, -self.k :]
         else:
@@ -201,9 +218,10 @@ class Query:
         if not len(items):
             return
         columns, of = np.unique(found, return_inverse=True)
-        exact = np.zeros((len(asked), len(lengths)), np.int64)
-        exact[row, docs] = np.frombuffer(block["tfs"].as_py(), "<i4")[places]
-        scores = (weights @ _parts(exact[:, columns], _norms(lengths[columns], self.n_docs, self.n_terms))).astype(np.int64)[items, of]
+        norms, scores = _norms(lengths[columns], self.n_docs, self.n_terms), np.zeros((len(weights), len(columns)))
+        for w, cells in pieces(np.frombuffer(block["tfs"].as_py(), "<i4")[places]):
+            scores += w @ _parts(cells[:, columns], norms)
+        scores = scores.astype(np.int64)[items, of]
         ids = block["doc_ids"].values.take(pa.array(columns)).to_pylist()
         bounds = np.searchsorted(items, np.arange(len(best) + 1))
         for i in np.unique(items):

@@ -6,7 +6,9 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
+from pyspark.sql import functions as F
 
 from sparkloom.llm import lexical
 
@@ -85,6 +87,29 @@ def test_long_texts_in_pieces(text):
     assert count(whole) == count(cut) == Counter(terms(text)) and whole["lengths"][0] == cut["lengths"][0] == len(terms(text))
 
 
+@pytest.mark.parametrize("build", [None, {"block_docs": 7}])
+def test_terms_scored_a_few_at_a_time(spark, tmp_path, build, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK_CELLS", 50)
+    docs, items = invented(5, 150), invented(6, 20)
+    path = str(tmp_path / "index")
+    lexical.build_index(spark.createDataFrame(docs, DOCS).coalesce(1), path, **(build or {}))
+    index = spark.read.schema(lexical.INDEX).parquet(path)
+    n_docs, n_terms = lexical.sums(index)
+    rows = [tuple(r) for r in lexical.weigh(spark.createDataFrame(items, ITEMS), index, n_docs, "item_id", "text").orderBy("item_id", "term").collect()]
+    query = lexical.Query(rows, 10, n_docs, n_terms)
+    hits = pa.Table.from_batches(query.hits(index.toArrow().to_batches())).to_pylist()
+    assert {(query.items[h["item"]], h["doc_id"], h["score"]) for h in hits} >= {(i, d, s) for i, _, d, s in plain(docs, items)}
+
+
+def test_a_row_group_holds_a_block(spark, tmp_path):
+    """The reader holds a row group at once; so its memory stays that of a block, however many blocks a file has."""
+    path = tmp_path / "index"
+    docs = spark.range(0, 400, 1, 1).select(F.col("id").alias("doc_id"), F.concat_ws(" ", F.transform(F.sequence(F.lit(1), F.lit(500)), lambda i: F.hex(F.xxhash64("id", i)))).alias("text"))
+    lexical.build_index(docs, str(path), block_docs=10)
+    groups = [m.row_group(i) for f in path.glob("*.parquet") for m in [pq.ParquetFile(f).metadata] for i in range(m.num_row_groups)]
+    assert sum(g.num_rows for g in groups) == 40 and max(g.total_byte_size for g in groups) < 40 * 10 * 500
+
+
 def test_bytes_bound_shares_from_above():
     tfs, norms = np.repeat(np.arange(1, 400), 50), np.tile(np.arange(10, 5010, 100), 399)
     parts = lexical._parts(tfs, norms)
